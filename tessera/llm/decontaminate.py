@@ -36,11 +36,12 @@ def runs(w: Column, width: int) -> Column:
 
 
 def hashes(w: Column, width: int) -> Column:
-    return F.transform(runs(w, width), lambda i: F.xxhash64(F.slice(w, i, width), F.lit(width)))
+    # Words are got one by one: slice() would copy the whole array for each shingle.
+    return F.transform(runs(w, width), lambda i: F.xxhash64(*[F.get(w, i + (k - 1)) for k in range(width)], F.lit(width)))
 
 
 def strings(w: Column, width: Column | int) -> Column:
-    one = lambda k: F.transform(runs(w, k), lambda i: F.array_join(F.slice(w, i, k), " "))
+    one = lambda k: F.transform(runs(w, k), lambda i: F.concat_ws(" ", *[F.get(w, i + (j - 1)) for j in range(k)]))
     if isinstance(width, int):
         return F.array_distinct(one(width))
     out = F.array().cast("array<string>")
@@ -66,7 +67,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     widths = sorted(r[0] for r in known.select("width").distinct().collect())  # at most WIDTH numbers
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     exploded = known.select("_item", "width", "hits", "k", F.explode("shingles").alias("s"))
-    hashed = exploded.withColumn("h", F.xxhash64(F.split("s", " "), "width"))
+    hashed = exploded.withColumn("h", F.coalesce(*[F.when(F.col("width") == k, F.xxhash64(*[F.get(F.split("s", " "), F.lit(j)) for j in range(k)], F.lit(k))) for k in range(1, WIDTH + 1)]))
     order = Window.partitionBy("_item").orderBy(F.xxhash64("h", F.lit(11)), "h")
     signature = hashed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("k")).select("_item", "h", "hits")
     if not widths:
@@ -78,9 +79,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     few = pairs.count() <= BROADCAST_ROWS
     same = pairs.withColumnRenamed("doc_id", "_doc")
     joined = text.join(F.broadcast(same) if few else same, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    w = words(F.col("text"))
-    common = F.size(F.array_intersect("shingles", strings(w, F.col("width"))))
+    # The words are a column of their own, so that they are made once for each row and not for each shingle.
+    joined = joined.select("doc_id", "_item", "item_id", "width", "shingles", words(F.col("text")).alias("w"))
+    common = F.size(F.array_intersect("shingles", strings(F.col("w"), F.col("width"))))
     held = joined.select("doc_id", "_item", "item_id", F.size("shingles").cast("long").alias("n_shingles"), common.cast("long").alias("n_common"))
+    # A filter right above would be pushed below and make the words once for each shingle again.
+    held = materialize(held, "benchmark-verified")
     best = held.where(4 * F.col("n_common") >= 3 * F.col("n_shingles")).groupBy("doc_id", "_item", "item_id", "n_shingles").agg(F.max("n_common").alias("n_common"))
     return best.select("doc_id", "item_id", "n_shingles", "n_common", (F.col("n_common") / F.col("n_shingles")).alias("containment"))
 

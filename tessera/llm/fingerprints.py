@@ -1,12 +1,12 @@
 """Merkle tree fingerprints of documents over paragraphs and sections. DataFrame functions only.
 
-A text is cut into paragraphs: lines, and within lines phrases that end after a sentence or after a word in
-d, s or t, so that texts without line breaks have branches too. Cuts depend on the characters around them
+A text is cut into paragraphs: lines, and within lines phrases that end after a sentence or after a
+word in d, n, o, s or t, so that texts without line breaks have branches too. Cuts depend on the characters around them
 alone, so an edit changes the paragraphs that it touches and no others. A paragraph's digest is a 64-bit
 hash; paragraphs are gathered into sections that close after digests divisible by SECTION; a section's
 digest hashes its paragraphs' digests, and the root (SHA-256) those of the sections and their number.
 
-A fingerprint is "root/section section .../paragraph paragraph ...", digests of branches as 8 hex digits.
+A fingerprint is "root/sections/paragraphs", the digests of branches as six hex digits each, run together.
 Equal roots mean equal texts; likeness is the Dice coefficient of the distinct paragraph digests, 1 for equal
 roots; differing() names the sections and paragraphs that an edit changed.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 SECTION, ROOT_HEX = 8, 32
-CUT = "(?<=\\n|[.!?;|]\\s|[dst] )"
+CUT = "(?<=\\n|[.!?;|%$dnost] )"
 #: Documents of a bucket that one task puts in order, and the most buckets (their bounds are kept on the driver).
 BUCKET_ROWS, MAX_BUCKETS = 1000, 4096
 _FIRST = -(2**63)
@@ -36,15 +36,23 @@ def leaves(text: Column) -> Column:
     return F.transform(F.split(text, CUT), lambda p: F.xxhash64(p))
 
 
-def sections(digests: Column) -> Column:
-    """Digests of the sections."""
+def section_ends(digests: Column) -> Column:
+    """Positions (from 1) of the last paragraphs of sections."""
     n = F.size(digests)
-    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (F.pmod(F.get(digests, i - 1), F.lit(SECTION)) == 0) | (i == n))
-    return F.transform(ends, lambda e, k: F.xxhash64(F.slice(digests, F.coalesce(F.get(ends, k - 1), F.lit(0)) + 1, e - F.coalesce(F.get(ends, k - 1), F.lit(0)))))
+    return F.filter(F.sequence(F.lit(1), n), lambda i: (F.pmod(F.get(digests, i - 1), F.lit(SECTION)) == 0) | (i == n))
+
+
+def sections(digests: Column, ends: Column) -> Column:
+    """Digests of the sections; both arguments plain columns, as each is looked up for each paragraph."""
+
+    def chained(first: Column, last: Column) -> Column:
+        return F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda h, i: F.xxhash64(h, F.get(digests, i)))
+
+    return F.transform(ends, lambda e, k: chained(F.when(k == 0, 0).otherwise(F.get(ends, k - 1)), e - 1))
 
 
 def _hex(digests: Column) -> Column:
-    return F.array_join(F.transform(digests, lambda x: F.substring(F.hex(x.bitwiseOR(F.lit(_FIRST))), 9, 8)), " ")
+    return F.array_join(F.transform(digests, lambda x: F.substring(F.hex(x.bitwiseOR(F.lit(_FIRST))), 11, 6)), "")
 
 
 def fingerprint(digests: Column, parts: Column) -> Column:
@@ -53,9 +61,13 @@ def fingerprint(digests: Column, parts: Column) -> Column:
     return F.concat_ws("/", root, _hex(parts), _hex(digests))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two texts by their paragraph digests, cut to the 32 bits that fingerprints show."""
-    x, y = (F.array_distinct(F.transform(z, lambda d: d.bitwiseAND(F.lit(0xFFFFFFFF)))) for z in (a, b))
+def shown(digests: Column) -> Column:
+    """The distinct digests of paragraphs, cut to the 24 bits that fingerprints show."""
+    return F.array_distinct(F.transform(digests, lambda d: d.bitwiseAND(F.lit(0xFFFFFF))))
+
+
+def likeness(x: Column, y: Column) -> Column:
+    """Dice coefficient of the shown() digests of two texts."""
     return 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
 
 
@@ -63,7 +75,7 @@ def differing(a: Column, b: Column) -> Column:
     """Positions (from 0) of the sections and paragraphs of fingerprint a that fingerprint b lacks; none if the roots agree."""
 
     def lacking(level: int) -> Column:
-        mine, other = (F.split(F.get(F.split(z, "/"), F.lit(level)), " ") for z in (a, b))
+        mine, other = (F.regexp_extract_all(F.get(F.split(z, "/"), F.lit(level)), F.lit(".{6}"), 0) for z in (a, b))
         return F.filter(F.sequence(F.lit(0), F.size(mine) - 1), lambda i: ~F.array_contains(other, F.get(mine, i)))
 
     same = F.get(F.split(a, "/"), F.lit(0)) == F.get(F.split(b, "/"), F.lit(0))
@@ -106,11 +118,13 @@ def op10_merkle_fingerprints(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         leaves(F.col("text")).alias("mine"), leaves(F.col("edited")).alias("changed"), leaves(F.col("next_text")).alias("after"),
     )
-    trees = trees.select("*", sections(F.col("mine")).alias("mine_sections"), sections(F.col("changed")).alias("changed_sections"))
+    digests = {"mine": "x", "changed": "y", "after": "z"}
+    trees = trees.select("*", section_ends(F.col("mine")).alias("mine_ends"), section_ends(F.col("changed")).alias("changed_ends"), *[shown(F.col(k)).alias(v) for k, v in digests.items()])
+    trees = trees.select("*", *[sections(F.col(k), F.col(f"{k}_ends")).alias(f"{k}_sections") for k in ("mine", "changed")])
     return trees.select(
         "doc_id", "n_chars", "edited_sha256",
         fingerprint(F.col("mine"), F.col("mine_sections")).alias("fingerprint"),
         fingerprint(F.col("changed"), F.col("changed_sections")).alias("edited_fingerprint"),
-        likeness(F.col("mine"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("mine"), F.col("after")).alias("near_next"),
+        likeness(F.col("x"), F.col("y")).alias("near_edited"),
+        likeness(F.col("x"), F.col("z")).alias("near_next"),
     )
