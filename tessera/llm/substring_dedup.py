@@ -146,7 +146,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, width: int = CELLS) -
             later = by_id[doc] > least
             local = np.stack([doc[later], start[later]], 1).astype(np.uint32)
             key, check, doc, start = key[~later], check[~later], doc[~later], start[~later]
-            rows = [(-1 - (block >> 3) % shards, block, None, None, local[:, 0].tobytes(), local[:, 1].tobytes(), by_id.tobytes(), np.array(prints, np.int64).tobytes())]
+            rows = [(-1 - (block ^ (block >> 32)) % shards, block, None, None, local[:, 0].tobytes(), local[:, 1].tobytes(), by_id.tobytes(), np.array(prints, np.int64).tobytes())]
             cut = np.searchsorted(key >> _U(64 - bits), np.arange(shards + 1, dtype=_U))
             for s in np.flatnonzero(np.diff(cut)):
                 a, z = cut[s], cut[s + 1]
