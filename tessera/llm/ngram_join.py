@@ -107,7 +107,7 @@ def members(docs: DataFrame) -> DataFrame:
             several = np.repeat(count > 1, count)
             again, single, single_doc = tok[new][count > 1], tok[~several], doc[~several].astype(np.uint32)
             high, low = np.array(keys, np.int64).reshape(-1, 2).T
-            rows = [{"shard": -1 - (block >> 3) % shards, "block": block, "ids": np.array(ids, np.int64).tobytes(), "sizes": np.array(sizes, np.int64).tobytes(), "shared": np.bincount(doc[several], minlength=n).tobytes(), "sent": np.array(owners, np.int64).tobytes(), "high": high.tobytes(), "low": low.tobytes()}]
+            rows = [{"shard": -1 - (block ^ (block >> 32)) % shards, "block": block, "ids": np.array(ids, np.int64).tobytes(), "sizes": np.array(sizes, np.int64).tobytes(), "shared": np.bincount(doc[several], minlength=n).tobytes(), "sent": np.array(owners, np.int64).tobytes(), "high": high.tobytes(), "low": low.tobytes()}]
             edges = np.arange(shards + 1, dtype=_U)
             cut, cut_again = np.searchsorted(single >> _U(64 - bits), edges), np.searchsorted(again >> _U(64 - bits), edges)
             cell = lambda x: ((x >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype(np.uint32)
