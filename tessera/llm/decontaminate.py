@@ -21,7 +21,7 @@ from tessera.llm.common import materialize, table
 
 WIDTH = 5
 SPACE = "[\\x20\\x09-\\x0D]+"
-#: Rows up to which verified pairs are broadcast; more are joined by a shuffle.
+#: Rows of two numbers up to which candidate pairs are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
@@ -75,10 +75,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     each = text.select("doc_id", words(F.col("text")).alias("w"))
     each = each.select("doc_id", F.explode(F.array_distinct(F.concat(*[hashes(F.col("w"), k) for k in widths]))).alias("h"))
     found = each.join(signature, "h").groupBy("doc_id", "_item").agg(F.countDistinct("h").alias("n"), F.first("hits").alias("hits"))
-    pairs = materialize(found.where("n >= hits").select("doc_id", "_item").join(known.select("_item", "item_id", "width", "shingles"), "_item"), "benchmark-pairs")
+    pairs = materialize(found.where("n >= hits").select("doc_id", "_item"), "benchmark-pairs")
     few = pairs.count() <= BROADCAST_ROWS
     same = pairs.withColumnRenamed("doc_id", "_doc")
     joined = text.join(F.broadcast(same) if few else same, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    joined = joined.join(known.select("_item", "item_id", "width", "shingles"), "_item")
     # The words are a column of their own, so that they are made once for each row and not for each shingle.
     joined = joined.select("doc_id", "_item", "item_id", "width", "shingles", words(F.col("text")).alias("w"))
     common = F.size(F.array_intersect("shingles", strings(F.col("w"), F.col("width"))))
