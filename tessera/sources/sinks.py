@@ -34,8 +34,10 @@ def write_coverage(counts: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("sep", "\t").partitionBy("context", "barcode").csv(path)
 
 
-def write_hdf5(counts: DataFrame, order: DataFrame, path: str, n_shards: int = 1) -> None:
-    """One HDF5 file for each shard with /CG and /CH groups of a dataset for each cell; needs h5py on the executors."""
+def write_hdf5(counts: DataFrame, order: DataFrame, path: str, version: str, n_shards: int = 1) -> None:
+    """One HDF5 file for each shard with /CG and /CH groups of a dataset for each cell; needs h5py on the executors.
+
+    version goes to metadata/version, by which readers of this layout tell it."""
 
     def write(key, rows):
         import h5py
@@ -47,7 +49,7 @@ def write_hdf5(counts: DataFrame, order: DataFrame, path: str, n_shards: int = 1
             raise ValueError("a contig's name has more than 10 bytes")
         name = f"{path}/shard_{key[0]:03d}.h5"
         with h5py.File(name, "w") as f:
-            f.create_group("metadata")["version"] = "amethyst2.0.0"
+            f.create_group("metadata")["version"] = version
             for (context, cell), own in rows.groupby(["context", "barcode"], sort=True):
                 own = own.sort_values(["contig_ord", "pos"])
                 data = np.zeros(len(own), kinds)
