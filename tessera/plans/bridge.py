@@ -33,8 +33,10 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two mates for each line item."""
-    return spark.sql(_READS.format(div="div", lineitem="{lineitem}", mates="LATERAL VIEW explode(array(0, 1)) AS m"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    """Two mates for each line item, dealt to all cores: the file may be a single row group, so a single task."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    items = items.repartition(2 * spark.sparkContext.defaultParallelism)
+    return spark.sql(_READS.format(div="div", lineitem="{lineitem}", mates="LATERAL VIEW explode(array(0, 1)) AS m"), lineitem=items)
 
 
 def whitelist(spark: SparkSession) -> DataFrame:
