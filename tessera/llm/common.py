@@ -15,7 +15,20 @@ from pyspark.sql import functions as F
 PIECE = 1 << 20
 
 
+#: Rows and bytes of an Arrow batch: Spark's own 10,000 rows and 64 MB are much memory where texts are long.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, and so the memory of Python workers; a lower number of rows stays."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
