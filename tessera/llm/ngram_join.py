@@ -352,7 +352,9 @@ def links(blocks: DataFrame, clusters: DataFrame, tile: int = TILE) -> DataFrame
                 for a in range(0, len(ids), 256):
                     yield _batch([{"rep": int(r), "n": int(k), "tokens": tok[z - k : z].tobytes()} for r, k, z in zip(ids[a : a + 256], n[a : a + 256], ends[a : a + 256], strict=True)], _SETS[2])
 
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
+    # Aggregates that rows are joined with are written first: joined right away they would share an exchange by
+    # cluster, which Spark could not split where one cluster holds most rows.
+    sizes = materialize(clusters.groupBy("component").agg(F.count("*").alias("members")), "near-sizes")
     placed = clusters.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "members")
     sets = blocks.select("reps", "sizes", "tokens").mapInArrow(unpack, _SETS[0])
     sets = materialize(sets.join(placed, "rep"), "near-sets")
@@ -364,6 +366,7 @@ def links(blocks: DataFrame, clusters: DataFrame, tile: int = TILE) -> DataFrame
     if not large.limit(1).count():
         return found
     hubs = large.where("rep = cluster").select("cluster", F.col("n").alias("hub_n"), F.col("tokens").alias("hub")).dropDuplicates(["cluster"])
+    hubs = materialize(hubs, "near-hub-sets")
 
     def against_hub(batches):
         for b in batches:
@@ -380,6 +383,7 @@ def links(blocks: DataFrame, clusters: DataFrame, tile: int = TILE) -> DataFrame
     # For each kind of block, the kinds that it meets: never two that both link to the hub.
     meets = mine.join(other, "cluster").where("abs(band - band2) <= 1 AND NOT (near AND near2)")
     meets = meets.groupBy("cluster", "band", "near").agg(F.first("own").alias("own"), F.collect_list(F.struct("band2", "near2", "blocks")).alias("meets"))  # at most six kinds
+    meets = materialize(meets, "near-meets")
     dealt = near.join(meets, ["cluster", "band", "near"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("own")).cast("int"))
     dealt = dealt.withColumn("m", F.explode("meets")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m.blocks") - 1)))
     a, b = F.struct("band", F.col("near").cast("int").alias("near"), "i"), F.struct(F.col("m.band2").alias("band"), F.col("m.near2").cast("int").alias("near"), F.col("j").alias("i"))
