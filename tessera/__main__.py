@@ -24,9 +24,12 @@ def main() -> None:
     p.add_argument("--codec", choices=sorted(CODECS), default="zstd")
     p.add_argument("--start", type=int)
     p.add_argument("--stop", type=int)
+    p.add_argument("--baq", action="store_true", help="cap qualities by base alignment quality")
+    p.add_argument("--stats", action="store_true", help="print the summary without writing sites")
+    p.add_argument("--dump-sites", metavar="FOLDER", help="write the sorted table of sites as TSV too")
     a = p.parse_args()
     spark = SparkSession.builder.appName("tessera").getOrCreate()
-    done = extract_methylation(spark, a.alignments, a.fasta, a.out, a.chroms.split(",") if a.chroms else None, a.whitelist, a.min_base_quality, a.min_mapq, a.max_depth or None, not a.keep_orphans, a.overlap, a.shards, a.codec, a.start, a.stop)
+    done = extract_methylation(spark, a.alignments, a.fasta, a.out, a.chroms.split(",") if a.chroms else None, a.whitelist, a.min_base_quality, a.min_mapq, a.max_depth or None, not a.keep_orphans, a.overlap, a.shards, a.codec, a.start, a.stop, a.baq, not a.stats, a.dump_sites)
     print(summary_line(done))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import scalars
+from tessera.operators import baq as base_alignment
 from tessera.operators import calling, pileup, reference
 from tessera.sources import bam, sinks, text
 
@@ -21,29 +23,39 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
 def extract_methylation(
     spark: SparkSession, alignments: str, fasta: str, out: str, chroms: list[str] | None = None, whitelist: str | None = None, min_base_quality: int = 20, min_mapq: int = 0,
     max_depth: int | None = 250, ignore_orphans: bool = True, overlap: str = "best", n_shards: int = 0, codec: str = "zstd", start: int | None = None, stop: int | None = None,
+    baq: bool = False, write: bool = True, dump_sites: str | None = None,
 ) -> dict:
     """Writes sites (Parquet by context and shard, with an index) and returns the run's summary.
 
-    start and stop, given together, restrict the run to that half-open stretch of the first contig."""
+    start and stop, given together, restrict the run to that half-open stretch of the first contig. baq caps
+    qualities by base alignment quality. write=False leaves the sites out and keeps the summary (with the
+    counts that it is made of); dump_sites names a folder for the sorted table of sites."""
     began = time.time()
     entries = text.fasta_index(fasta)
     known = spark.createDataFrame([(e[0], e[1]) for e in entries], "contig string, length long")
     order = reference.order_contigs(known, chroms)
     names = [r["contig"] for r in order.orderBy("contig_ord").collect()]  # a row for each contig
     reads = read_alignments(spark, alignments).where(F.col("contig").isin(names))
-    sites = reference.sites(text.read_fasta(spark, fasta).where(F.col("contig").isin(names)))
+    tiles = text.read_fasta(spark, fasta).where(F.col("contig").isin(names))
+    sites = reference.sites(tiles)
     if start is not None and stop is not None and names:
         sites = sites.where((F.col("contig") == names[0]) & (F.col("pos0") >= start) & (F.col("pos0") < stop))
     listed = text.read_whitelist(spark, whitelist) if whitelist else None
-    kept = pileup.filter_reads(reads, min_mapq, ignore_orphans)
+    seen = Observation()
+    kept = pileup.filter_reads(reads, min_mapq, ignore_orphans).observe(seen, F.count(F.lit(1)).alias("reads"))
+    kept = base_alignment.realign(kept.where(scalars.strand(F.col("flag")).isNotNull()), tiles) if baq else kept
     counts = calling.site_counts(calling.calls(kept, sites, listed, min_mapq, min_base_quality, max_depth, overlap))
     counts.select("barcode", "context", "tri", "chr", "pos", "pct", "t", "c").write.mode("overwrite").parquet(f"{out}/counts")
     counts = spark.read.parquet(f"{out}/counts")
     cells = counts.select("barcode").distinct().count()
     shards = calling.resolve_shards(cells, n_shards)
-    sinks.write_sites(counts, order, out, shards, codec)
+    if write:
+        sinks.write_sites(counts, order, out, shards, codec)
+    if dump_sites:
+        sinks.write_tsv(counts, dump_sites)
     stats = {r["context"]: {"c": r["c"], "t": r["t"], "pct": r["pct"]} for r in calling.context_stats(counts).collect()}
-    return {"cells": cells, "shards": shards, "contigs": names, "contexts": stats, "seconds": time.time() - began}
+    took, reads_used = time.time() - began, seen.get["reads"]
+    return {"cells": cells, "shards": shards, "contigs": names, "contexts": stats, "seconds": took, "reads": reads_used, "reads_per_second": reads_used / took, "cells_per_minute": 60 * cells / took}
 
 
 def summary_line(summary: dict) -> str:

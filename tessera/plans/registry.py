@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import calling, pileup, reference
+from tessera.operators import baq, calling, pileup, reference
 from tessera.plans import bridge
 
 QUERIES: dict = {}
@@ -249,3 +249,11 @@ def barcode_union(spark, sf_dir):
 def window_counts(spark, sf_dir):
     number = F.floor((F.col("pos") - 1) / bridge.WINDOW).cast("long").alias("window_no")
     return _counts(spark, sf_dir).groupBy("chr", number).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+
+
+def baq_qualities(spark, sf_dir):
+    """The model has no SQL: tests hold it against sums over all paths."""
+    return baq.realign(_used(spark, sf_dir), bridge.tiles(spark, sf_dir)).select("contig", "pos0", "flag", "qname", "qual")
+
+
+QUERIES["baq_qualities"] = baq_qualities

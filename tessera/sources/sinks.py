@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,9 @@ def write_sites(counts: DataFrame, order: DataFrame, path: str, n_shards: int, c
     if codec not in CODECS:
         raise ValueError(f"unknown codec {codec!r}; known: {', '.join(CODECS)}")
     placed = counts.join(F.broadcast(order.select(F.col("contig").alias("chr"), "contig_ord")), "chr").withColumn("shard", scalars.shard(F.col("barcode"), n_shards))
-    dealt = placed.repartition(n_shards, "context", "shard").sortWithinPartitions("context", "shard", "barcode", "contig_ord", "pos")
+    # By range, so that a shard is as many files as its size asks for, in order of their names, and not one task.
+    keys = ["context", "shard", "barcode", "contig_ord", "pos"]
+    dealt = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
     dealt.write.mode(mode).option("compression", CODECS[codec]).partitionBy("context", "shard").parquet(f"{path}/sites")
     index = counts.sparkSession.read.parquet(f"{path}/sites").select("barcode", "context", "shard").distinct()
     index.write.mode("overwrite").parquet(f"{path}/index")
@@ -37,26 +42,55 @@ def write_coverage(counts: DataFrame, path: str) -> None:
 def write_hdf5(counts: DataFrame, order: DataFrame, path: str, version: str, n_shards: int = 1) -> None:
     """One HDF5 file for each shard with /CG and /CH groups of a dataset for each cell; needs h5py on the executors.
 
-    version goes to metadata/version, by which readers of this layout tell it."""
+    version goes to metadata/version, by which readers of this layout tell it. Rows arrive sorted and are
+    appended batch by batch, so a shard may be larger than memory; a file gets its name when it is whole."""
+    fields = ["chr", "pos", "pct", "t", "c"]
+
+    def write(batches):
+        import os
 
-    def write(key, rows):
         import h5py
         import numpy as np
-        import pandas as pd
-
-        kinds = np.dtype([("chr", "S10"), ("pos", "<i8"), ("pct", "<f8"), ("t", "<i8"), ("c", "<i8")])
-        if rows["chr"].str.len().max() > 10:
-            raise ValueError("a contig's name has more than 10 bytes")
-        name = f"{path}/shard_{key[0]:03d}.h5"
-        with h5py.File(name, "w") as f:
-            f.create_group("metadata")["version"] = version
-            for (context, cell), own in rows.groupby(["context", "barcode"], sort=True):
-                own = own.sort_values(["contig_ord", "pos"])
-                data = np.zeros(len(own), kinds)
-                for column in kinds.names:
-                    data[column] = own[column].str.encode("ascii") if column == "chr" else own[column]
-                f.create_dataset(f"{context}/{cell}/1", data=data, chunks=(min(len(data), 65536),), compression="gzip", compression_opts=1)
-        return pd.DataFrame({"file": [name]})
+
+        kinds = np.dtype(list(zip(fields, ["S10", "<i8", "<f8", "<i8", "<i8"], strict=True)))
+        shard, f, name, part = None, None, "", ""
+
+        def finish():
+            f.close()
+            os.replace(part, name)
+            return pa.RecordBatch.from_pydict({"file": [name]})
+
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("shard", "context", "barcode")), strict=True))
+            if any(len(x.encode()) > 10 for x in b.column("chr").unique().to_pylist()):
+                raise ValueError("a contig's name has more than 10 bytes")
+            columns = [np.array([x.encode() for x in b.column("chr").to_pylist()], "S10"), *(b.column(c).to_numpy() for c in fields[1:])]
+            at = 0
+            while at < len(keys):
+                key, end = keys[at], at + 1
+                while end < len(keys) and keys[end] == key:
+                    end += 1
+                if key[0] != shard:
+                    if f:
+                        yield finish()
+                    shard, name = key[0], f"{path}/shard_{key[0]:03d}.h5"
+                    part = f"{name}.{uuid.uuid4().hex}"
+                    f = h5py.File(part, "w")
+                    f.create_group("metadata")["version"] = version
+                rows = np.zeros(end - at, kinds)
+                for field, column in zip(fields, columns, strict=True):
+                    rows[field] = column[at:end]
+                cell = f"{key[1]}/{key[2]}/1"
+                if cell in f:
+                    held = f[cell]
+                    held.resize((len(held) + len(rows),))
+                    held[-len(rows) :] = rows
+                else:
+                    f.create_dataset(cell, data=rows, maxshape=(None,), chunks=(min(max(len(rows), 1024), 65536),), compression="gzip", compression_opts=1)
+                at = end
+        if f:
+            yield finish()
 
     placed = counts.join(F.broadcast(order.select(F.col("contig").alias("chr"), "contig_ord")), "chr").withColumn("shard", scalars.shard(F.col("barcode"), n_shards))
-    placed.groupBy("shard").applyInPandas(write, "file string").collect()
+    dealt = placed.repartition(n_shards, "shard").sortWithinPartitions("shard", "context", "barcode", "contig_ord", "pos")
+    dealt.select("shard", "context", "barcode", *fields).mapInArrow(write, "file string").collect()  # a name for each shard

@@ -146,6 +146,59 @@ def test_extraction(spark, files, source):
         sinks.write_sites(sites, sites, out, 1, "nothing")
 
 
+def test_statistics_only_with_capped_qualities(spark, files):
+    out = str(files / "stats")
+    plain = api.extract_methylation(spark, str(files / "x.bam"), str(files / "x.fa"), out, ["chrT", "chrU"], max_depth=None, write=False, dump_sites=out + "/tsv")
+    assert plain["reads"] == 6 and plain["reads_per_second"] > 0 and not (files / "stats" / "sites").exists()
+    assert spark.read.option("header", True).option("sep", "\t").csv(out + "/tsv").count() == spark.read.parquet(out + "/counts").count() > 0
+    capped = api.extract_methylation(spark, str(files / "x.bam"), str(files / "x.fa"), out, ["chrT", "chrU"], max_depth=None, write=False, baq=True)
+    total = lambda d: d["contexts"]["Pooled"]["c"] + d["contexts"]["Pooled"]["t"]
+    assert capped["reads"] == 6 and 0 <= total(capped) <= total(plain)
+
+
+FAKE = """
+import os, pickle
+class Data:
+    def __init__(self, rows): self.rows = rows
+    def __len__(self): return len(self.rows)
+    def resize(self, shape):
+        import numpy as np
+        self.rows = np.concatenate([self.rows, np.zeros(shape[0] - len(self.rows), self.rows.dtype)])
+    def __setitem__(self, k, v): self.rows[k] = v
+class File(dict):
+    def __init__(self, path, mode): self.path = path
+    def create_group(self, name): return self.setdefault(name, {})
+    def create_dataset(self, name, data, **more):
+        assert more["maxshape"] == (None,)
+        self[name] = Data(data)
+    def close(self):
+        with open(self.path, "wb") as f: pickle.dump({k: v.rows if isinstance(v, Data) else v for k, v in self.items()}, f)
+"""
+
+
+def test_hdf5_layout_in_small_batches(spark, tmp_path):
+    """h5py is not installed here: a stand-in records what would be written."""
+    import pickle
+
+    (tmp_path / "h5py.py").write_text(FAKE)
+    rows = [(f"b{i % 5}", "CG" if i % 3 else "CH", "chr2" if i % 2 else "chr10", 1000 - i, 50.0, 1, 1) for i in range(200)]
+    counts = spark.createDataFrame(rows, "barcode string, context string, chr string, pos long, pct double, t long, c long")
+    order = spark.createDataFrame([("chr2", 0), ("chr10", 1)], "contig string, contig_ord int")
+    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sinks.write_hdf5(counts, order, str(tmp_path), "v1", 3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = [pickle.loads(p.read_bytes()) for p in sorted(tmp_path.glob("shard_*.h5"))]
+    assert files and all(f.pop("metadata") == {"version": "v1"} for f in files)
+    got = {k: v for f in files for k, v in f.items()}
+    assert sum(map(len, got.values())) == 200 and set(got) == {f"{c}/{b}/1" for b, c in {(r[0], r[1]) for r in rows}}
+    for v in got.values():
+        assert v.dtype.names == ("chr", "pos", "pct", "t", "c")
+        assert [tuple(x)[:2] for x in v] == sorted((tuple(x)[:2] for x in v), key=lambda x: (x[0] != b"chr2", x[1]))
+
+
 def test_windows_orders_and_shard_numbers(spark):
     c = spark.createDataFrame([("chr1", 50), ("chrM", 5), ("chr2", 0)], "contig string, length long")
     order = reference.order_contigs(c)
