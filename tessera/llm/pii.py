@@ -26,9 +26,12 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 #: Rounds of scoring, confidence of a pattern that discovers, and distinct seeds that it needs.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.9, 5
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The base expressions, written so that none is tried again within a run of characters: very long runs take
+# linear time. What follows a possessive part is never of its class, and an address can't start amid digits.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET = re.compile(r"[0-9a-f]{32,}\Z")
 DIGITS = re.compile(r"[0-9]+")
@@ -44,11 +47,24 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Spans of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`: for each @ what stands before it and after it."""
+    out, end, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            end = m.end()
+            out.append((start, end))
+        at = text.find("@", at + 1)
+    return out
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, leftmost and non-overlapping within a kind; matches that fail their test are dropped."""
     out: dict[str, list[tuple[int, int]]] = {"email": [], "ip": [], "card": [], "phone": []}
-    if "@" in text:
-        out["email"] = [m.span() for m in EMAIL.finditer(text)]
+    out["email"] = emails(text)
     if DIGITS.search(text):
         out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -348,6 +349,20 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[30] == [(11, 27, "card")] and got[40] == got[41] == got[None] == [] and got[20] == []
 
 
+def test_base_spans_equal_the_plain_expressions_and_take_linear_time():
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+"}
+    rng = random.Random(3)
+    for _ in range(20_000):
+        t = "".join(rng.choice("a1.@-_% +9é0") for _ in range(rng.randrange(24)))
+        want = {k: [m.span() for m in re.finditer(x, t)] for k, x in plain.items()}
+        got = {"email": pii.emails(t), "ip": [m.span() for m in pii.IP.finditer(t)], "card": [m.span() for m in pii.CARD.finditer(t)]}
+        assert got == want, t
+    began = time.monotonic()
+    for t in ("a" * 1_000_000 + " x@y.z", "1" * 1_000_000, "a" * 500_000 + "@" + "b" * 500_000, "@a" * 500_000, "+1" + "." * 1_000_000):
+        assert sum(map(len, pii.base_spans(t).values())) == t.endswith("x@y.z")
+    assert time.monotonic() - began < 60  # by the plain expressions: hours
+
+
 def test_pii_query_on_odd_rows(spark, odd, none, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in pii.op9_pii_bootstrap(spark, str(tmp_path)).collect()}
