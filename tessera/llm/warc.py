@@ -2,7 +2,8 @@
 
 Each archive starts with a skippable frame (magic 0x184D2A5D) that holds a dictionary built from records of
 that very archive; each record is a frame of its own. Archives go to a shared folder under names that depend
-on the partition only, by a temporary name and a rename, so a task that is run again replaces its own file.
+on the partition only, by a temporary name and a rename, so a task that is run again replaces its own file; only archives that
+finished tasks name are read.
 
 Defined cases: null html is an empty payload; rows with a null page_id are archived too (never referred to);
 rows that repeat a page_id and its payload are each a response; a null url leaves the header out; an empty
@@ -123,6 +124,8 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
             fs.create_dir(at, recursive=True)
             with fs.open_output_stream(tried) as f:
                 f.write(data)
+            if fs.get_file_info(f"{at}/{name}").type == pyarrow.fs.FileType.File:
+                fs.delete_file(f"{at}/{name}")  # an earlier try's; not every file system renames over a file
             fs.move(tried, f"{at}/{name}")
             return pa.RecordBatch.from_pydict({"name": [name], "records": [len(held)], "bytes": [len(data)]})
 
@@ -171,7 +174,9 @@ def read_archives(spark: SparkSession, path: str, names: list[str]) -> DataFrame
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in fields.split(", ")])
     if not names:
         return spark.createDataFrame([], fields)
-    return spark.read.format("binaryFile").load([f"{path}/{n}" for n in names] if len(names) < 1000 else path).select("content").mapInArrow(read, fields)
+    # By name and not as a folder: a lost task may have left archives behind that no finished one named.
+    files = spark.read.format("binaryFile").load([f"{path}/{n}" for n in names])
+    return files.select("content").mapInArrow(read, fields)
 
 
 def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
