@@ -5,7 +5,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from tessera.api import extract_methylation, summary_line
-from tessera.sources.sinks import CODECS
+from tessera.sources.sinks import CODECS, HDF5_CODECS
 
 
 def main() -> None:
@@ -27,9 +27,12 @@ def main() -> None:
     p.add_argument("--baq", action="store_true", help="cap qualities by base alignment quality")
     p.add_argument("--stats", action="store_true", help="print the summary without writing sites")
     p.add_argument("--dump-sites", metavar="FOLDER", help="write the sorted table of sites as TSV too")
+    p.add_argument("--hdf5", metavar="FOLDER", help="write HDF5 shards and a master file too; needs h5py on the executors")
+    p.add_argument("--hdf5-codec", choices=sorted(HDF5_CODECS), default="gzip")
+    p.add_argument("--hdf5-version", default="", help="version of the layout for metadata/version")
     a = p.parse_args()
     spark = SparkSession.builder.appName("tessera").getOrCreate()
-    done = extract_methylation(spark, a.alignments, a.fasta, a.out, a.chroms.split(",") if a.chroms else None, a.whitelist, a.min_base_quality, a.min_mapq, a.max_depth or None, not a.keep_orphans, a.overlap, a.shards, a.codec, a.start, a.stop, a.baq, not a.stats, a.dump_sites)
+    done = extract_methylation(spark, a.alignments, a.fasta, a.out, a.chroms.split(",") if a.chroms else None, a.whitelist, a.min_base_quality, a.min_mapq, a.max_depth or None, not a.keep_orphans, a.overlap, a.shards, a.codec, a.start, a.stop, a.baq, not a.stats, a.dump_sites, a.hdf5, a.hdf5_codec, a.hdf5_version)
     print(summary_line(done))
 
 

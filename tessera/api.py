@@ -24,12 +24,14 @@ def extract_methylation(
     spark: SparkSession, alignments: str, fasta: str, out: str, chroms: list[str] | None = None, whitelist: str | None = None, min_base_quality: int = 20, min_mapq: int = 0,
     max_depth: int | None = 250, ignore_orphans: bool = True, overlap: str = "best", n_shards: int = 0, codec: str = "zstd", start: int | None = None, stop: int | None = None,
     baq: bool = False, write: bool = True, dump_sites: str | None = None,
+    hdf5: str | None = None, hdf5_codec: str = "gzip", hdf5_version: str = "",
 ) -> dict:
     """Writes sites (Parquet by context and shard, with an index) and returns the run's summary.
 
     start and stop, given together, restrict the run to that half-open stretch of the first contig. baq caps
     qualities by base alignment quality. write=False leaves the sites out and keeps the summary (with the
-    counts that it is made of); dump_sites names a folder for the sorted table of sites."""
+    counts that it is made of); dump_sites names a folder for the sorted table of sites, hdf5 one for a file of
+    each shard and a master file, whose layout hdf5_version names."""
     began = time.time()
     entries = text.fasta_index(fasta)
     known = spark.createDataFrame([(e[0], e[1]) for e in entries], "contig string, length long")
@@ -51,6 +53,8 @@ def extract_methylation(
     shards = calling.resolve_shards(cells, n_shards)
     if write:
         sinks.write_sites(counts, order, out, shards, codec)
+    if hdf5:
+        sinks.write_hdf5(counts, order, hdf5, hdf5_version, shards, hdf5_codec)
     if dump_sites:
         sinks.write_tsv(counts, dump_sites)
     stats = {r["context"]: {"c": r["c"], "t": r["t"], "pct": r["pct"]} for r in calling.context_stats(counts).collect()}

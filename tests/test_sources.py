@@ -165,6 +165,7 @@ class Data:
         import numpy as np
         self.rows = np.concatenate([self.rows, np.zeros(shape[0] - len(self.rows), self.rows.dtype)])
     def __setitem__(self, k, v): self.rows[k] = v
+def ExternalLink(file, at): return (file, at)
 class File(dict):
     def __init__(self, path, mode): self.path = path
     def create_group(self, name): return self.setdefault(name, {})
@@ -187,11 +188,17 @@ def test_hdf5_layout_in_small_batches(spark, tmp_path):
     spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        sinks.write_hdf5(counts, order, str(tmp_path), "v1", 3)
+        sinks.write_hdf5(counts, order, str(tmp_path / "new"), "v1", 16, "gzip-shuffle")
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    files = [pickle.loads(p.read_bytes()) for p in sorted(tmp_path.glob("shard_*.h5"))]
-    assert files and all(f.pop("metadata") == {"version": "v1"} for f in files)
+    files = [pickle.loads(p.read_bytes()) for p in sorted((tmp_path / "new").glob("shard_*.h5"))]
+    assert len(files) == 16 and all(f.pop("metadata") == {"version": "v1"} for f in files) and {} in files
+    master = pickle.loads((tmp_path / "new" / "master.h5").read_bytes())
+    assert master.pop("metadata") == {"version": "v1"} and len(master) == len({(r[0], r[1]) for r in rows})
+    for at, (name, inside) in master.items():
+        assert at == inside and f"{at}/1" in pickle.loads((tmp_path / "new" / name).read_bytes())
+    with pytest.raises(ValueError):
+        sinks.write_hdf5(counts, order, str(tmp_path), "v1", codec="nothing")
     got = {k: v for f in files for k, v in f.items()}
     assert sum(map(len, got.values())) == 200 and set(got) == {f"{c}/{b}/1" for b, c in {(r[0], r[1]) for r in rows}}
     for v in got.values():
