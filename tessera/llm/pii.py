@@ -1,11 +1,14 @@
 """Personal data: base expressions, and contextual extraction bootstrapped from what they find.
 
-Seeds are the base spans (email, ip, card, phone) and long hexadecimal secrets. Each identifier-like run of a
-text, seed or not, is an occurrence of an instance in a lexical pattern: the two words before it and the
-punctuation around it. Spark scores the graph of patterns and instances in rounds: a pattern is as reliable
-as the share of its occurrences whose instances are reliable, an instance as its best pattern of that kind.
-Patterns above a confidence, supported by several distinct seeds, discover the unseen instances of the same
-shape in their slots. Base spans always stay.
+Seeds are the base spans (email, ip, card, phone) and long hexadecimal secrets. Each run of at least six characters
+of a text, seed or not, is an occurrence of an instance in a lexical pattern: the two words before it and the
+punctuation around it. A first pass finds the patterns that several distinct seeds of a kind support, a second
+one all that stands in them. Spark scores the graph of patterns and instances in rounds: a pattern, alone and
+with each shape of instance, is as reliable as the share of its occurrences whose instances are reliable, an
+instance as its best pattern of that kind. Patterns above a confidence discover the unseen instances in their
+slots, of whatever form; those confident for one shape discover that shape. Words of prose count against a pattern
+but are discovered between quotes or brackets only. Groups of digits may hold spaces in slots of cards and phones.
+Base spans always stay.
 
 Defined cases: a null text is empty; offsets are code points; rows are told apart even where all their columns
 repeat; texts are read whole; an empty table gives an empty result; other columns are ignored.
@@ -15,8 +18,10 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Container
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +38,18 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SECRET = re.compile(r"[0-9a-f]{32,}\Z")
-DIGITS = re.compile(r"[0-9]+")
+DIGIT, DIGITS = re.compile(r"[0-9]"), re.compile(r"[0-9]+")
 _EDGE = "\"'<>()[]{}|,;:=.!?"
-_BREAK = frozenset(" \t\n\x0b\x0c\r\"'<>()[]{}|,;=")
+_BREAK = frozenset("\"'<>()[]{}|,;=")
+_SPACED = str.maketrans(dict.fromkeys(_EDGE, " "))
+_QUOTES = "\"'<>()[]{}"
+WORD, RUN = re.compile(r"\S+"), re.compile(r"[^\"'<>()\[\]{}|,;=]+")
+HEX, LAST = re.compile(r"[0-9a-f]{32,}+"), re.compile(r"[.:!?]*+(?=[\s\"'<>()\[\]{}|,;=]|\Z)")
+#: Digits in groups, as cards and phones have them, and the padding of base64.
+GROUPS = re.compile(r"\+?[0-9](?:[\x20\xa0\u202f-]?[0-9])++")
+BASE64, PADDING = re.compile(r"[A-Za-z0-9+/_-]++"), re.compile(r"={1,2}(?!=)")
+#: Characters of a word of a pattern before a digest stands for it; the shape of a slot of any filler.
+LONG, ANY = 80, ""
 
 
 def luhn(digits: str) -> bool:
@@ -81,54 +94,180 @@ def shape(s: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "0", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9a-f]{32,}", "#", s))))
 
 
-def context(text: str, start: int, end: int) -> str:
-    """The two words before, folded, and the punctuation that touches the run."""
-    left = text[max(0, start - 80) : start]
-    right = text[end : end + 1]
-    words = left.split()
-    touching = "" if not left or left[-1].isspace() else left[-1]
-    if touching and words:
-        words[-1] = words[-1].rstrip(_EDGE)
-        words = [w for w in words if w]
-    return " ".join(DIGITS.sub("0", w.lower()) for w in words[-2:]) + f" {touching}_{'' if right.isspace() else right}"
-
-
-def occurrences(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, str, str, int, int, bool]]:
-    """(pattern, kind or '', instance, start, end, seed) of the identifier-like runs, at least 6 characters with a digit."""
-    taken = sorted((a, b, kind) for kind, spans in base.items() for a, b in spans)
-    out = [(context(text, a, b), kind, text[a:b], a, b, True) for a, b, kind in taken]
-    starts, reach = [a for a, _, _ in taken], []
-    for _, b, _ in taken:
+def fold(word: str) -> str:
+    """Lower case, runs of digits as one 0; a digest stands for a word of more than LONG characters."""
+    if len(word) <= LONG:
+        return DIGITS.sub("0", word.lower())
+    return "~" + xxhash.xxh3_64_hexdigest(DIGIT.sub("0", word.lower()).encode("utf-8", "surrogatepass"))
+
+
+class Contexts:
+    """Patterns of spans, asked for in the order of their starts, so that all words are read once however long they are."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, WORD.finditer(text)
+        self.next, self.word, self.before, self.folded = next(self.words, None), None, [], {}
+
+    def of(self, start: int, end: int) -> str:
+        """The two words before, folded, and the punctuation that touches the span."""
+        while self.next and self.next.start() < start:
+            self.before = [*self.before, self.word][-2:] if self.word else []
+            self.word, self.next = self.next, next(self.words, None)
+            self.sum, self.summed, self.cut = xxhash.xxh3_64(), self.word.start(), self.word.start()
+        left, right = self.text[start - 1 : start] if start else "", self.text[end : end + 1]
+        touching = "" if not left or left.isspace() else left
+        last = (self._part(start) if touching else self._whole(self.word)) if self.word else ""
+        words = [*map(self._whole, self.before), *([last] if last else [])][-2:]
+        return " ".join(words) + f" {touching}_{'' if right.isspace() else right}"
+
+    def _whole(self, word: re.Match) -> str:
+        if word.start() not in self.folded:
+            self.folded = {m.start(): self.folded[m.start()] for m in self.before if m.start() in self.folded} | {word.start(): fold(word[0])}
+        return self.folded[word.start()]
+
+    def _part(self, start: int) -> str:
+        """The word up to start, without the punctuation that it ends with; '' if nothing is left."""
+        first, z = self.word.start(), start
+        while z > self.cut and self.text[z - 1] in _EDGE:
+            z -= 1
+        self.cut = z
+        if z - first <= LONG:
+            return fold(self.text[first:z])
+        self.sum.update(DIGIT.sub("0", self.text[self.summed : z].lower()).encode("utf-8", "surrogatepass"))
+        self.summed = z
+        return "~" + self.sum.hexdigest()
+
+
+def slot_hash(pattern: str) -> int:
+    return xxhash.xxh3_64_intdigest(pattern.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _free(spans: list[tuple[int, int]]):
+    """Whether a span touches none of the given ones."""
+    spans = sorted(spans)
+    starts, reach = [a for a, _ in spans], []
+    for _, b in spans:
         reach.append(max(b, reach[-1]) if reach else b)
-    done = -1
-    for m in DIGITS.finditer(text):
-        if m.start() < done:
-            continue
-        a, b = m.span()
-        while a > 0 and text[a - 1] not in _BREAK and a > m.start() - 256:
-            a -= 1
-        while b < len(text) and text[b] not in _BREAK and b < m.end() + 256:
-            b += 1
-        done = b
-        b -= len(text[a:b]) - len(text[a:b].rstrip(".:!?"))
+
+    def free(a: int, b: int) -> bool:
         i = bisect.bisect_left(starts, b)
-        if b - a < 6 or (i and reach[i - 1] > a):
-            continue
-        if SECRET.match(text[a:b]) and not text[a:b].isdigit():
-            out.append((context(text, a, b), "secret", text[a:b], a, b, True))
-        else:
-            out.append((context(text, a, b), "", text[a:b], a, b, False))
+        return not i or reach[i - 1] <= a
+
+    return free
+
+
+def seeds(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the base spans and of the long hexadecimal secrets that lie outside of them."""
+    out = [(a, b, kind) for kind, spans in base.items() for a, b in spans]
+    free = _free([x[:2] for x in out])
+    for m in HEX.finditer(text):
+        a, b = m.span()
+        if (not a or text[a - 1].isspace() or text[a - 1] in _BREAK) and LAST.match(text, b) and not m[0].isdigit() and free(a, b):
+            out.append((a, b, "secret"))
     return out
 
 
-_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<pattern:string,kind:string,instance:string,shape:string,start:int,stop:int,seed:boolean>>"
+def plain(s: str) -> bool:
+    """A word of prose, which is no identifier unless it is quoted or bracketed: letters and inner hyphens or apostrophes, no capital but the first."""
+    return s.replace("-", "").replace("'", "").replace("’", "").isalpha() and s[1:] == s[1:].lower()
+
+
+def fillers(text: str, heads: Container[str]) -> list[tuple[int, int, str]]:
+    """(start, end, kinds) of the runs that may stand in a slot: those whose last word before is in heads; kinds: '' for all.
+
+    A run lies between breaks, without .:!? at its end but with the padding of base64; a group of digits may go over spaces."""
+
+    def hot(word: str) -> bool:
+        low = word.lower()
+        return (low if low.isalpha() else DIGITS.sub("0", low)) in heads
+
+    out, before = [], "" in heads
+    for m in WORD.finditer(text):
+        word, first = m[0], m.start()
+        if before or not word.isalnum():
+            head, cut = before, 0
+            for r in RUN.finditer(word):
+                a, b = r.span()
+                if a and word[cut:a].strip(_EDGE):
+                    head = a > LONG or hot(word[:a].rstrip(_EDGE))
+                cut = a
+                if not head:
+                    continue
+                b = a + len(r[0].rstrip(".:!?"))
+                if b == r.end() and word[b : b + 1] == "=" and (pad := PADDING.match(word, b)) and (pad.end() - a) % 4 == 0 and BASE64.fullmatch(word, a, b):
+                    b = pad.end()
+                if b - a >= 6:
+                    out.append((first + a, first + b, ""))
+        before = len(word) > LONG or hot(word)
+    out += [(*m.span(), "card,phone") for m in GROUPS.finditer(text) if not m[0].isdigit() and 9 <= len(DIGIT.findall(m[0])) <= 19]
+    if "+" in text:
+        out += [(*m.span(), "phone") for m in PHONE.finditer(text) if 6 <= len(DIGIT.findall(m[0])) <= 19]
+    return out
+
+
+def tails(heads: Container[str]) -> tuple[frozenset[str], bool]:
+    """What the heads end with before punctuation, and whether may_hold() can tell texts by them."""
+    return frozenset(x[-1] for h in heads if (x := h.translate(_SPACED).split())), "" not in heads and not any(h.startswith("~") for h in heads)
+
+
+def may_hold(text: str, heads: frozenset[str], ends: frozenset[str], tells: bool) -> bool:
+    """False only if no run of the text has a head before it; takes few passes and no loop over words."""
+    if not tells or "Σ" in text:  # whose lower case depends on what follows
+        return True
+    low = DIGITS.sub("0", text.lower())
+    return not heads.isdisjoint(low.split()) or not ends.isdisjoint(low.translate(_SPACED).split())
+
+
+def occurrences(text: str, base: dict[str, list[tuple[int, int]]], slots: Container[int], heads: Container[str], search: bool = True) -> list[tuple[str, str, str, int, int, bool, str]]:
+    """(pattern, kind or '', instance, start, end, whether it may be discovered, kinds) of the seeds and other runs in the slots."""
+    if not slots:
+        return []
+    own = seeds(text, base)
+    free = _free([x[:2] for x in own])
+    spans = [(a, b, kind, "") for a, b, kind in own] + [(a, b, "", kinds) for a, b, kinds in (fillers(text, heads) if search else ()) if free(a, b)]
+    out, contexts = [], Contexts(text)
+    for a, b, kind, kinds in sorted(spans):
+        pattern = contexts.of(a, b)
+        if slot_hash(pattern) in slots:
+            s = text[a:b]
+            quoted = text[a - 1 : a] in _QUOTES and text[b : b + 1] in _QUOTES if a and b < len(text) else False
+            out.append((pattern, kind, s, a, b, not kind and (quoted or not plain(s)), kinds))
+    return out
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def find_slots(docs: DataFrame, support: int) -> tuple[list[int], list[str]]:
+    """Hashes of the patterns that enough distinct seeds of a kind stand in, and the words that such patterns end with."""
+    schema = pa.schema([("slot", pa.int64()), ("head", pa.string()), ("kind", pa.string()), ("instance", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for text in b.column("text").to_pylist():
+                contexts = Contexts(text)
+                for a, z, kind in sorted(seeds(text, base_spans(text))):
+                    pattern = contexts.of(a, z)
+                    rows.append((slot_hash(pattern), pattern.rsplit(" ", 1)[0].rsplit(" ", 1)[-1], kind, slot_hash(text[a:z])))
+            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in schema.names}, schema)
+
+    seen = _texts(docs).select("text").mapInArrow(run, "slot long, head string, kind string, instance long").distinct()
+    found = seen.groupBy("slot", "head", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("slot", "head").distinct().collect()
+    return [r["slot"] for r in found], sorted({r["head"] for r in found})  # at most a number and a word for each `support` seeds
+
+
+_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<pattern:string,kind:string,instance:string,shape:string,start:int,stop:int,open:boolean,kinds:string>>"
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, slots: list[int], heads: list[str]) -> DataFrame:
     """A row for each document: base spans, and the occurrences that bootstrapping works on."""
-    found_type = pa.list_(pa.struct([("pattern", pa.string()), ("kind", pa.string()), ("instance", pa.string()), ("shape", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("seed", pa.bool_())]))
+    found_type = pa.list_(pa.struct([("pattern", pa.string()), ("kind", pa.string()), ("instance", pa.string()), ("shape", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("open", pa.bool_()), ("kinds", pa.string())]))
+    held = docs.sparkSession.sparkContext.broadcast((frozenset(slots), frozenset(heads), *tails(heads)))
 
     def run(batches):
+        slots, heads, ends, tells = held.value
         for b in batches:
             counts, spans, found = [[], [], [], []], [], []
             for text in b.column("text").to_pylist():
@@ -136,15 +275,15 @@ def scan(docs: DataFrame) -> DataFrame:
                 for i, kind in enumerate(KINDS[:4]):
                     counts[i].append(len(base[kind]))
                 spans.append(",".join(f"{kind}:{a}:{z}" for kind in KINDS[:4] for a, z in base[kind]))
-                found.append([{"pattern": p, "kind": k, "instance": x, "shape": shape(x), "start": a, "stop": z, "seed": s} for p, k, x, a, z, s in occurrences(text, base)])
+                found.append([{"pattern": p, "kind": k, "instance": x, "shape": shape(x), "start": a, "stop": z, "open": o, "kinds": ks} for p, k, x, a, z, o, ks in occurrences(text, base, slots, heads, may_hold(text, heads, ends, tells))])
             cols = {"doc_id": b.column("doc_id")} | {f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts, strict=False)}
             yield pa.RecordBatch.from_pydict(cols | {"base": pa.array(spans, pa.string()), "found": pa.array(found, found_type)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _SCHEMA)
+    return _texts(docs).mapInArrow(run, _SCHEMA)
 
 
 def score_patterns(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
-    """pattern, kind, shape, score for the slots of enough distinct seeds; seen: a row for each occurrence."""
+    """pattern, kind, shape, score for the slots of enough distinct seeds; seen: a row for each occurrence and shape."""
     edges = materialize(seen.groupBy("pattern", "shape", "instance", "kind").agg(F.count("*").alias("n")), "pii-graph")
     slots = edges.where("kind <> ''").groupBy("pattern", "shape", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support).drop("seeds")
     near = materialize(edges.withColumnRenamed("kind", "own").join(slots, ["pattern", "shape"]), "pii-slots")
@@ -161,10 +300,13 @@ def score_patterns(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """doc_id, counts of base spans, base (string) and added: spans that confident patterns discovered."""
-    rows = materialize(scan(docs).withColumn("_row", F.monotonically_increasing_id()), "pii-scan")
+    rows = materialize(scan(docs, *find_slots(docs, support)).withColumn("_row", F.monotonically_increasing_id()), "pii-scan")
     seen = rows.select("_row", F.explode("found").alias("f")).select("_row", "f.*")
-    sure = score_patterns(seen, rounds, support).where(F.col("score") >= confidence)
-    new = seen.where("kind = ''").drop("kind").join(sure, ["pattern", "shape"]).select("_row", "kind", "start", "stop")
+    # A slot is a pattern with any filler, and a pattern with fillers of one shape: either may be confident.
+    seen = seen.withColumn("shape", F.explode(F.array("shape", F.lit(ANY))))
+    # A group that begins with a run of its own is counted by that run.
+    sure = score_patterns(seen.where("kinds = '' OR NOT instance RLIKE '^[+0-9-]{6}'"), rounds, support).where(F.col("score") >= confidence)
+    new = seen.where("open").drop("kind").join(sure, ["pattern", "shape"]).where("kinds = '' OR contains(kinds, kind)").select("_row", "kind", "start", "stop")
     # Seeds that are no base span count as discovered where their own pattern is confident.
     trusted = seen.where("kind = 'secret'").join(sure, ["pattern", "shape", "kind"], "left_semi").select("_row", "kind", "start", "stop")
     added = new.union(trusted).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "kind"))).alias("added"))

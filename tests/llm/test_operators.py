@@ -352,6 +352,38 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[30] == [(11, 27, "card")] and got[40] == got[41] == got[None] == [] and got[20] == []
 
 
+def test_confident_patterns_discover_fillers_of_any_form(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    unseen = [key(1).upper(), key(2)[:24], "ghp_" + key(3)[:36], "QWxhZGRpbjpvcGVuIHNlc2FtZQ==", "correct-horse", "AKIAQWERTYUIOP"]
+    rows = [(i, f'noise {i} token = "{key(i)}" more words') for i in range(150)]
+    rows += [(1000 + i, f'noise {i} token = "{x}" more words') for i, x in enumerate(unseen)]
+    cards = [4111111111111111, 5500005555555559, 6011111111111117, 4012888888881881, 5105105105105100, 5555555555554444]
+    rows += [(2000 + i, f"my card no {str(n)[:4]} {str(n)[4:8]} {str(n)[8:12]} {str(n)[12:]} is lost") for i, n in enumerate(cards * 4)]
+    rows += [(3000, "my card no 4111 1111 1111 1112 is lost"), (3001, "my card no another is lost"), (3002, 'noise words = "AKIAQWERTYUIOP" more')]
+    got = {r.doc_id: [tuple(x) for x in r.added or []] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in enumerate(unseen):
+        at = len(f'noise {i} token = "')
+        assert got[1000 + i] == [(at, at + len(x), "secret")], x
+    assert got[3000] == [(11, 30, "card")] and got[3001] == got[3002] == []
+
+
+def test_long_runs_and_words_of_patterns_are_read_whole():
+    for n in (40, 200, 256, 260, 512, 5000):
+        secret = "0a1b2c3d4e" * (n // 10) + "f" * (n % 10)
+        text = f'token = "{secret}" more'
+        assert pii.seeds(text, pii.base_spans(text)) == [(9, 9 + n, "secret")] and pii.Contexts(text).of(9, 9 + n) == 'token = "_"'
+        other = text.replace(secret, secret.upper())
+        held = {pii.slot_hash('token = "_"')}
+        assert [x[3:5] for x in pii.occurrences(other, {}, held, {"="})] == [(9, 9 + n)]
+    long = "x" * 200 + "1"
+    of = lambda before: pii.Contexts(before + " = 123456 y").of(len(before) + 3, len(before) + 9)
+    assert of("a " + long) == of("b " + long) != of("a y" + long) and of("a b") == "b = _"
+    text, began = "a1b2c3," * 300_000, time.monotonic()
+    contexts = pii.Contexts(text)
+    assert len({contexts.of(i, i + 6) for i in range(0, len(text), 7)}) > 290_000
+    assert time.monotonic() - began < 60  # by slices of all that stands before: hours
+
+
 def test_base_spans_equal_the_plain_expressions_and_take_linear_time():
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+"}
     rng = random.Random(3)
