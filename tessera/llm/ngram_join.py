@@ -15,11 +15,13 @@ A document's set is its distinct shingles of five words, kept as sorted 64-bit h
    link) into blocks, and tiles are the pairs of blocks with at least one such set.
 5. In a tile, hashed bitmaps bound the overlap from above by bit counts; pairs within the bound that are not
    connected yet are intersected exactly.
+   Where links are counted (n_links) neither shortcut is taken: every pair of blocks of equal and adjacent bands is a
+   tile, every pair within the bound is intersected, and a class's links are weighted by the copies of the other one.
 6. Components of the links give the smallest doc_id that each document reaches.
 
 Defined cases: a document without words has an empty set and links with nothing; a document of fewer than five
 words has its whole sequence as its only shingle; a null doc_id gives a null component and no link; rows
-that share a doc_id are nodes of one name; an empty table gives an empty result; other columns are ignored.
+that share a doc_id are nodes of one name, though n_links counts rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -294,8 +296,8 @@ class Tile:
         both = np.bitwise_count(self.bitmaps[i] & self.bitmaps[js]).sum(1, dtype=np.int64)
         return np.minimum(self.spare[i], self.spare[js]) + both
 
-    def links(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-        """Links between the two sides (or within one, given twice) that connect what was not connected."""
+    def links(self, left: np.ndarray, right: np.ndarray, every: bool = False) -> list[tuple[int, int]]:
+        """Links between the two sides (or within one, given twice): every one, or those that connect what was not connected."""
         out, same = [], left is right
         right = right[np.argsort(self.n[right], kind="stable")]
         sizes = self.n[right]
@@ -305,6 +307,10 @@ class Tile:
             js = js[js > i] if same else js
             js = js[7 * self.bound(i, js) >= 3 * (n + self.n[js])]
             for j in js.tolist():
+                if every:
+                    if linked(overlap(self.sets[i], self.sets[j]), n, len(self.sets[j])):
+                        out.append((i, j))
+                    continue
                 a, b = self.find(i), self.find(j)
                 if a != b and linked(overlap(self.sets[i], self.sets[j]), n, len(self.sets[j])):
                     self.root[b] = a
@@ -342,6 +348,90 @@ def _tile(key, t):
     return _pairs(_edges(t, rows, left, right if len(right) else None))
 
 
+_KEYED = _schema("rep long, n long, tokens binary, high long, low long")
+_LINKS = _schema("high long, low long, n long, others long")
+
+
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """A row for each set, with its key."""
+
+    def unpack(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                ids, n, tok, ends = _sets(row["reps"], row["sizes"], row["tokens"])
+                for a in range(0, len(ids), 256):
+                    rows = [{"rep": int(r), "n": int(k), "tokens": tok[z - k : z].tobytes()} for r, k, z in zip(ids[a : a + 256], n[a : a + 256], ends[a : a + 256], strict=True)]
+                    for x in rows:
+                        x["high"], x["low"] = set_key(np.frombuffer(x["tokens"], _U))
+                    yield _batch(rows, _KEYED[2])
+
+    return blocks.select("reps", "sizes", "tokens").mapInArrow(unpack, _KEYED[0])
+
+
+def _linked_rows(t: pa.Table, rows: np.ndarray, sides: np.ndarray | None = None) -> list[np.ndarray]:
+    """Key, size and number of linked rows of other classes for the given rows; sides: 0 or 1 for each, or all on one."""
+    key = np.stack([t[c].to_numpy()[rows] for c in ("high", "low", "n")], 1)
+    first = np.sort(np.unique(key, axis=0, return_index=True)[1])  # a set comes again where rows repeat their doc_id and text
+    rows, key, copies = rows[first], key[first], t["copies"].to_numpy()[rows[first]]
+    tile = Tile([np.frombuffer(t["tokens"][int(i)].as_py(), _U) for i in rows])
+    left = right = np.arange(len(rows))
+    if sides is not None and sides.any():
+        left, right = np.flatnonzero(sides[first] == 0), np.flatnonzero(sides[first] == 1)
+    others = np.zeros(len(rows), np.int64)
+    for i, j in tile.links(left, right, every=True):
+        others[i] += copies[j]
+        others[j] += copies[i]
+    return [np.column_stack([key, others])[others > 0]]
+
+
+def _rows_of(parts: list[np.ndarray]) -> pa.Table:
+    x = np.concatenate([np.zeros((0, 4), np.int64), *parts])
+    return pa.table(dict(zip(_LINKS[1], x.T, strict=True)), schema=_LINKS[2])
+
+
+def _small_counts(key, t):
+    """A bin of small clusters."""
+    order = np.argsort(t["cluster"].to_numpy(), kind="stable")
+    cuts = np.flatnonzero(np.diff(t["cluster"].to_numpy()[order])) + 1
+    return _rows_of([x for rows in np.split(order, cuts) if len(rows) > 1 for x in _linked_rows(t, rows)])
+
+
+def _tile_counts(key, t):
+    """A tile of two blocks, or of one with itself."""
+    side = t["side"].to_numpy()
+    if key[1] != key[2] and len(np.unique(side)) < 2:
+        return _rows_of([])  # one of the blocks is empty
+    return _rows_of(_linked_rows(t, np.arange(len(side)), side))
+
+
+def link_counts(blocks: DataFrame, clusters: DataFrame, classes: DataFrame, tile: int = TILE) -> DataFrame:
+    """high, low, n, others: for each class with links the rows of other classes that it links to; no pair is left out."""
+    # Rows of one doc_id with different sets are nodes of one name: these are a cluster even where only they share shingles.
+    twins = classes.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+    clusters = clusters.union(twins.join(clusters, "node", "left_anti"))
+    sizes = materialize(clusters.join(classes.select("rep"), F.col("node") == F.col("rep")).groupBy("component").agg(F.count("*").alias("members")), "near-sizes")
+    placed = clusters.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "members")
+    sets = unpacked(blocks).join(classes.select("high", "low", "n", "copies"), ["high", "low", "n"])
+    sets = materialize(sets.join(placed, "rep"), "near-sets")
+    small = sets.where(F.col("members") <= tile)
+    bins = max(1, math.ceil(small.count() / BIN))
+    found = small.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))).groupBy("bin").applyInArrow(_small_counts, _LINKS[0])
+
+    # Pairs of blocks in one band of sizes or in neighbours, as in links(), but without a hub: every pair of sets is held together.
+    large = sets.where(F.col("members") > tile)
+    if large.limit(1).count():
+        large = large.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3) + 1e-9).cast("int"))
+        counts = materialize(large.groupBy("cluster", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("own")), "near-bands")
+        other = counts.select("cluster", F.col("band").alias("band2"), F.col("own").alias("blocks"))
+        meets = counts.join(other, "cluster").where("abs(band - band2) <= 1").groupBy("cluster", "band").agg(F.first("own").alias("own"), F.collect_list(F.struct("band2", "blocks")).alias("meets"))  # at most three bands
+        dealt = large.join(materialize(meets, "near-meets"), ["cluster", "band"]).withColumn("i", F.pmod(F.xxhash64("high", "low"), F.col("own")).cast("int"))
+        dealt = dealt.withColumn("m", F.explode("meets")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m.blocks") - 1)))
+        a, b = F.struct("band", "i"), F.struct(F.col("m.band2").alias("band"), F.col("j").alias("i"))
+        dealt = dealt.select("cluster", F.least(a, b).alias("one"), F.greatest(a, b).alias("two"), (a > b).cast("int").alias("side"), "high", "low", "n", "copies", "tokens")
+        found = found.union(dealt.groupBy("cluster", "one", "two").applyInArrow(_tile_counts, _LINKS[0]))
+    return found.groupBy("high", "low", "n").agg(F.sum("others").alias("others"))
+
+
 def links(blocks: DataFrame, clusters: DataFrame, tile: int = TILE) -> DataFrame:
     """u, v: links that connect whatever links connect; clusters: node, component."""
 
@@ -392,16 +482,20 @@ def links(blocks: DataFrame, clusters: DataFrame, tile: int = TILE) -> DataFrame
     return found.union(tiles).union(near.where("near AND rep <> cluster").select("rep", "cluster"))
 
 
-def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def near_duplicates(docs: DataFrame, tile: int = TILE, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, and n_links if asked for: how many other rows it links with."""
     found = materialize(members(docs), "near-members")
     classes = materialize(found.where("survives").groupBy("high", "low", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-classes")
     blocks = materialize(set_blocks(docs, classes), "near-blocks")
     clusters = materialize(components(candidate_edges(blocks)), "near-clusters")
     joined = materialize(components(links(blocks, clusters, tile)), "near-components")
+    others = materialize(link_counts(blocks, clusters, classes, tile), "near-links") if count_links else None
     drop_tables(blocks)
-    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("high", "low", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = found.join(named, ["high", "low", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("high", "low", "n", "copies", F.coalesce("component", "rep").alias("component_id"))
+    if count_links:
+        named = named.join(others, ["high", "low", "n"], "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    out = found.join(named, ["high", "low", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
 
     def sizes(batches):
         for b in batches:
@@ -409,7 +503,7 @@ def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"n": pa.array(n, pa.int64())})
 
     nameless = docs.where("doc_id IS NULL").select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(sizes, "n long")
-    return out.union(nameless.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
+    return out.union(nameless.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long"), *([F.lit(0).cast("long")] if count_links else [])))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -422,6 +516,11 @@ def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    """The same with n_links, for which every link is verified."""
+    return near_duplicates(table(spark, sf_dir, "documents"), count_links=True)
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i : i + least(len(ws), 5) - 1], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM w WHERE len(ws) > 0)),
@@ -432,3 +531,4 @@ r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
 JOIN (SELECT u, min(v) AS component_id FROM r GROUP BY u) m ON d.doc_id = m.u
 """
+LINKS_SQL = ORACLE_SQL.replace("m.component_id FROM", "m.component_id, coalesce(k.n_links, 0) AS n_links FROM") + "LEFT JOIN (SELECT u, count(*) AS n_links FROM l GROUP BY u) k ON d.doc_id = k.u\n"

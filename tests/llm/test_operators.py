@@ -352,6 +352,18 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[30] == [(11, 27, "card")] and got[40] == got[41] == got[None] == [] and got[20] == []
 
 
+@pytest.mark.parametrize("tile", [3, 512])
+def test_every_link_is_counted(spark, tile):
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(2, 78, 7)] + [" ".join(words)] * 3 + [" ".join(words[:64]), "another text of its own stands here"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, " ".join(words[:70])), (100, " ".join(words[:69])), (7, None), (None, " ".join(words))]
+    sets = [shingle_set(t or "") if d is not None else set() for d, t in rows]
+    want = sorted(sum(i != j and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tile=tile, count_links=True).collect()
+    assert sorted(r.n_links for r in got) == want and max(want) > 10
+    assert {r.n_links for r in got if r.doc_id is None} == {0}
+
+
 def test_confident_patterns_discover_fillers_of_any_form(spark):
     key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
     unseen = [key(1).upper(), key(2)[:24], "ghp_" + key(3)[:36], "QWxhZGRpbjpvcGVuIHNlc2FtZQ==", "correct-horse", "AKIAQWERTYUIOP"]
