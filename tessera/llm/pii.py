@@ -173,15 +173,11 @@ def plain(s: str) -> bool:
 
 
 def fillers(text: str, heads: Container[str]) -> list[tuple[int, int, str]]:
-    """(start, end, kinds) of the runs that may stand in a slot: those whose last word before is in heads; kinds: '' for all.
+    """(start, end, kinds) of the runs that may stand in a slot: those whose two words before are in heads; kinds: '' for all.
 
-    A run lies between breaks, without .:!? at its end but with the padding of base64; a group of digits may go over spaces."""
+    A run lies between breaks, without .:!? at its end but with the padding of base64."""
 
-    def hot(word: str) -> bool:
-        low = word.lower()
-        return (low if low.isalpha() else DIGITS.sub("0", low)) in heads
-
-    out, before = [], "" in heads
+    out, two, one, before = [], "", "", "" in heads
     for m in WORD.finditer(text):
         word, first = m[0], m.start()
         if before or not word.isalnum():
@@ -189,7 +185,7 @@ def fillers(text: str, heads: Container[str]) -> list[tuple[int, int, str]]:
             for r in RUN.finditer(word):
                 a, b = r.span()
                 if a and word[cut:a].strip(_EDGE):
-                    head = a > LONG or hot(word[:a].rstrip(_EDGE))
+                    head = a > LONG or f"{one} {fold(word[:a].rstrip(_EDGE))}".lstrip() in heads
                 cut = a
                 if not head:
                     continue
@@ -198,24 +194,35 @@ def fillers(text: str, heads: Container[str]) -> list[tuple[int, int, str]]:
                     b = pad.end()
                 if b - a >= 6:
                     out.append((first + a, first + b, ""))
-        before = len(word) > LONG or hot(word)
-    out += [(*m.span(), "card,phone") for m in GROUPS.finditer(text) if not m[0].isdigit() and 9 <= len(DIGIT.findall(m[0])) <= 19]
+        low = word.lower()
+        two, one = one, low if low.isalpha() and len(word) <= LONG else fold(word)
+        before = f"{two} {one}".lstrip() in heads
+    return out
+
+
+def groups(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kinds) of digits in groups, as cards and phones have them."""
+    out = [(*m.span(), "card,phone") for m in GROUPS.finditer(text) if not m[0].isdigit() and 9 <= len(DIGIT.findall(m[0])) <= 19]
     if "+" in text:
         out += [(*m.span(), "phone") for m in PHONE.finditer(text) if 6 <= len(DIGIT.findall(m[0])) <= 19]
     return out
 
 
-def tails(heads: Container[str]) -> tuple[frozenset[str], bool]:
-    """What the heads end with before punctuation, and whether may_hold() can tell texts by them."""
-    return frozenset(x[-1] for h in heads if (x := h.translate(_SPACED).split())), "" not in heads and not any(h.startswith("~") for h in heads)
+def tails(heads: Container[str]) -> tuple[frozenset[tuple[str, str]], frozenset[str], bool]:
+    """The pairs of words of the heads, what they end with before punctuation, and whether may_hold() can tell texts by them."""
+    pairs = frozenset(("", *h.split(" "))[-2:] for h in heads)
+    return pairs, frozenset(x[-1] for h in heads if (x := h.translate(_SPACED).split())), "" not in heads and not any("~" in h for h in heads)
 
 
-def may_hold(text: str, heads: frozenset[str], ends: frozenset[str], tells: bool) -> bool:
+def may_hold(text: str, pairs: frozenset[tuple[str, str]], ends: frozenset[str], tells: bool) -> bool:
     """False only if no run of the text has a head before it; takes few passes and no loop over words."""
     if not tells or "Σ" in text:  # whose lower case depends on what follows
         return True
-    low = DIGITS.sub("0", text.lower())
-    return not heads.isdisjoint(low.split()) or not ends.isdisjoint(low.translate(_SPACED).split())
+    low = DIGITS.sub("0", text.lower()).split()
+    if not pairs.isdisjoint(zip(["", *low], low, strict=False)):
+        return True
+    # A head may end within a word, before a quote, a bracket or the like.
+    return not all(ends.isdisjoint(w.translate(_SPACED).split()[:-1]) for w in low if not w.isalnum())
 
 
 def occurrences(text: str, base: dict[str, list[tuple[int, int]]], slots: Container[int], heads: Container[str], search: bool = True) -> list[tuple[str, str, str, int, int, bool, str]]:
@@ -224,7 +231,7 @@ def occurrences(text: str, base: dict[str, list[tuple[int, int]]], slots: Contai
         return []
     own = seeds(text, base)
     free = _free([x[:2] for x in own])
-    spans = [(a, b, kind, "") for a, b, kind in own] + [(a, b, "", kinds) for a, b, kinds in (fillers(text, heads) if search else ()) if free(a, b)]
+    spans = [(a, b, kind, "") for a, b, kind in own] + [(a, b, "", kinds) for a, b, kinds in [*(fillers(text, heads) if search else ()), *groups(text)] if free(a, b)]
     out, contexts = [], Contexts(text)
     for a, b, kind, kinds in sorted(spans):
         pattern = contexts.of(a, b)
@@ -240,7 +247,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def find_slots(docs: DataFrame, support: int) -> tuple[list[int], list[str]]:
-    """Hashes of the patterns that enough distinct seeds of a kind stand in, and the words that such patterns end with."""
+    """Hashes of the patterns that enough distinct seeds of a kind stand in, and the words of such patterns."""
     schema = pa.schema([("slot", pa.int64()), ("head", pa.string()), ("kind", pa.string()), ("instance", pa.int64())])
 
     def run(batches):
@@ -250,12 +257,12 @@ def find_slots(docs: DataFrame, support: int) -> tuple[list[int], list[str]]:
                 contexts = Contexts(text)
                 for a, z, kind in sorted(seeds(text, base_spans(text))):
                     pattern = contexts.of(a, z)
-                    rows.append((slot_hash(pattern), pattern.rsplit(" ", 1)[0].rsplit(" ", 1)[-1], kind, slot_hash(text[a:z])))
+                    rows.append((slot_hash(pattern), pattern.rsplit(" ", 1)[0], kind, slot_hash(text[a:z])))
             yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in schema.names}, schema)
 
     seen = _texts(docs).select("text").mapInArrow(run, "slot long, head string, kind string, instance long").distinct()
     found = seen.groupBy("slot", "head", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("slot", "head").distinct().collect()
-    return [r["slot"] for r in found], sorted({r["head"] for r in found})  # at most a number and a word for each `support` seeds
+    return [r["slot"] for r in found], sorted({r["head"] for r in found})  # at most a number and two words for each `support` seeds
 
 
 _SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<pattern:string,kind:string,instance:string,shape:string,start:int,stop:int,open:boolean,kinds:string>>"
@@ -267,7 +274,7 @@ def scan(docs: DataFrame, slots: list[int], heads: list[str]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((frozenset(slots), frozenset(heads), *tails(heads)))
 
     def run(batches):
-        slots, heads, ends, tells = held.value
+        slots, heads, pairs, ends, tells = held.value
         for b in batches:
             counts, spans, found = [[], [], [], []], [], []
             for text in b.column("text").to_pylist():
@@ -275,7 +282,7 @@ def scan(docs: DataFrame, slots: list[int], heads: list[str]) -> DataFrame:
                 for i, kind in enumerate(KINDS[:4]):
                     counts[i].append(len(base[kind]))
                 spans.append(",".join(f"{kind}:{a}:{z}" for kind in KINDS[:4] for a, z in base[kind]))
-                found.append([{"pattern": p, "kind": k, "instance": x, "shape": shape(x), "start": a, "stop": z, "open": o, "kinds": ks} for p, k, x, a, z, o, ks in occurrences(text, base, slots, heads, may_hold(text, heads, ends, tells))])
+                found.append([{"pattern": p, "kind": k, "instance": x, "shape": shape(x), "start": a, "stop": z, "open": o, "kinds": ks} for p, k, x, a, z, o, ks in occurrences(text, base, slots, heads, may_hold(text, pairs, ends, tells))])
             cols = {"doc_id": b.column("doc_id")} | {f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts, strict=False)}
             yield pa.RecordBatch.from_pydict(cols | {"base": pa.array(spans, pa.string()), "found": pa.array(found, found_type)})
 
