@@ -1,35 +1,41 @@
 """Personal data: base expressions, and contextual extraction bootstrapped from what they find.
 
-Seeds are the base spans (email, ip, card, phone) and long hexadecimal secrets. Each run of at least six characters
-of a text, seed or not, is an occurrence of an instance in a lexical pattern: the two words before it and the
-punctuation around it. A first pass finds the patterns that several distinct seeds of a kind support, a second
-one all that stands in them. Spark scores the graph of patterns and instances in rounds: a pattern, alone and
-with each shape of instance, is as reliable as the share of its occurrences whose instances are reliable, an
-instance as its best pattern of that kind. Patterns above a confidence discover the unseen instances in their
-slots, of whatever form; those confident for one shape discover that shape. Words of prose count against a pattern
-but are discovered between quotes or brackets only. Groups of digits may hold spaces in slots of cards and phones.
-Base spans always stay.
+Seeds are the base spans (email, ip, card, phone) and secrets of two plain forms (hexadecimal, access key ids). Candidates are all other runs of six
+characters or more that look like identifiers: those with a digit, a sign such as @ _ / + or a capital after a small
+letter, quoted or bracketed runs of any form, and digits in groups. Each seed and each candidate is an occurrence of an
+instance in lexical patterns of several widths: two words before, one word before and the words on both sides with any filler; one word before and one word after with
+fillers of one shape; a shape of many parts, the form, or the beginning and the length, alone. Spark scores the
+graph of patterns and instances in rounds. A pattern is as reliable as the share that trusted ones have of its
+distinct instances (copies of a text add nothing), where seeds of other kinds count in full and those of which nothing is known
+by a quarter; patterns of enough trusted instances above a confidence trust the instances that stand in them (by the square of their score), and those count in the next round,
+wherever they stand, so that patterns which no seed supports can follow. In the end confident patterns discover the unseen
+instances in their slots, by the kind of the best pattern. Base spans always stay.
 
 Defined cases: a null text is empty; offsets are code points; rows are told apart even where all their columns
-repeat; texts are read whole; an empty table gives an empty result; other columns are ignored.
+repeat; texts are read whole; an empty table gives an empty result; other columns are ignored. Candidates that
+touch a seed, or lie within a longer group of digits, are left out.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Container
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import drop_tables, materialize, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Rounds of scoring, confidence of a pattern that discovers, and distinct seeds that it needs.
-ROUNDS, CONFIDENCE, SUPPORT = 3, 0.9, 5
+#: Rounds of scoring, confidence of a pattern that discovers, distinct instances that it needs, and what an instance
+#: of which nothing is known counts against a pattern, where one of another kind counts 1.
+ROUNDS, CONFIDENCE, SUPPORT, DOUBT = 3, 0.9, 5, 0.25
+#: Least characters of a candidate; characters of a word, of punctuation and of a shape before a digest stands for them.
+LEAST, LONG, GLUE = 6, 80, 16
+#: Characters of a shape up to which it says too little to be a pattern by itself, as 0, a or a-0 do.
+PLAIN = 4
 
 # The base expressions, written so that none is tried again within a run of characters: very long runs take
 # linear time. What follows a possessive part is never of its class, and an address can't start amid digits.
@@ -38,18 +44,19 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-DIGIT, DIGITS = re.compile(r"[0-9]"), re.compile(r"[0-9]+")
-_EDGE = "\"'<>()[]{}|,;:=.!?"
-_BREAK = frozenset("\"'<>()[]{}|,;=")
-_SPACED = str.maketrans(dict.fromkeys(_EDGE, " "))
-_QUOTES = "\"'<>()[]{}"
-WORD, RUN = re.compile(r"\S+"), re.compile(r"[^\"'<>()\[\]{}|,;=]+")
-HEX, LAST = re.compile(r"[0-9a-f]{32,}+"), re.compile(r"[.:!?]*+(?=[\s\"'<>()\[\]{}|,;=]|\Z)")
+DIGITS = re.compile(r"[0-9]+")
+#: What ends a run, and what tokens of contexts lie between.
+_BREAK = "\"'<>()[\\]{}|,;="
+_STOPS = frozenset("\"'<>()[]{}|,;=")
+RUN, TOKEN = re.compile(rf"[^\s{_BREAK}]++"), re.compile(rf"[^\s{_BREAK}:.!?]++")
+#: The first sign of an identifier; it begins with its class, which a search can look for quickly.
+SIGN = re.compile(r"[0-9@_/+~A-Z](?:(?<=[0-9@_/+~])|(?<=[a-z][A-Z]))")
+QUOTED = re.compile(rf"[\"'<(\[{{](?=([^\s{_BREAK}]{{{LEAST},}}+)[\"'>)\]}}])")
+#: Seeds of secrets: hexadecimal numbers of digits and letters, and the public form of access key ids.
+SECRET, LAST = re.compile(r"[0-9a-f]{16,}+|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"), re.compile(rf"[.:!?]*+(?=[\s{_BREAK}]|\Z)")
 #: Digits in groups, as cards and phones have them, and the padding of base64.
-GROUPS = re.compile(r"\+?[0-9](?:[\x20\xa0\u202f-]?[0-9])++")
+GROUPS = re.compile(r"\+?[0-9](?:[\x20\xa0 -]?[0-9])++")
 BASE64, PADDING = re.compile(r"[A-Za-z0-9+/_-]++"), re.compile(r"={1,2}(?!=)")
-#: Characters of a word of a pattern before a digest stands for it; the shape of a slot of any filler.
-LONG, ANY = 80, ""
 
 
 def luhn(digits: str) -> bool:
@@ -89,57 +96,49 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def shape(s: str) -> str:
-    """Runs of digits, of letters a-f and of other letters by class; other characters stay."""
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "0", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9a-f]{32,}", "#", s))))
+def _short(s: str, most: int = LONG) -> str:
+    """The string, or a digest of one of more than so many characters."""
+    return s if len(s) <= most else "~" + xxhash.xxh3_64_hexdigest(s.encode("utf-8", "surrogatepass"))
+
 
+def form(s: str) -> str:
+    """Letters, capitals and digits by class, each for itself; long hexadecimal numbers by their length."""
+    return _short(re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", re.sub(r"[0-9a-f]{32,}+", lambda m: f"#{len(m[0])}", s)))))
 
-def fold(word: str) -> str:
-    """Lower case, runs of digits as one 0; a digest stands for a word of more than LONG characters."""
-    if len(word) <= LONG:
-        return DIGITS.sub("0", word.lower())
-    return "~" + xxhash.xxh3_64_hexdigest(DIGIT.sub("0", word.lower()).encode("utf-8", "surrogatepass"))
+
+def shape(s: str) -> str:
+    """Runs of digits, of long hexadecimal numbers and of letters by class; other characters stay."""
+    return _short(re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "0", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9a-f]{32,}+", "#", s)))))
 
 
 class Contexts:
-    """Patterns of spans, asked for in the order of their starts, so that all words are read once however long they are."""
+    """Patterns of the spans of a text; its tokens are found once, and each is folded where a span needs it."""
 
     def __init__(self, text: str):
-        self.text, self.words = text, WORD.finditer(text)
-        self.next, self.word, self.before, self.folded = next(self.words, None), None, [], {}
-
-    def of(self, start: int, end: int) -> str:
-        """The two words before, folded, and the punctuation that touches the span."""
-        while self.next and self.next.start() < start:
-            self.before = [*self.before, self.word][-2:] if self.word else []
-            self.word, self.next = self.next, next(self.words, None)
-            self.sum, self.summed, self.cut = xxhash.xxh3_64(), self.word.start(), self.word.start()
-        left, right = self.text[start - 1 : start] if start else "", self.text[end : end + 1]
-        touching = "" if not left or left.isspace() else left
-        last = (self._part(start) if touching else self._whole(self.word)) if self.word else ""
-        words = [*map(self._whole, self.before), *([last] if last else [])][-2:]
-        return " ".join(words) + f" {touching}_{'' if right.isspace() else right}"
-
-    def _whole(self, word: re.Match) -> str:
-        if word.start() not in self.folded:
-            self.folded = {m.start(): self.folded[m.start()] for m in self.before if m.start() in self.folded} | {word.start(): fold(word[0])}
-        return self.folded[word.start()]
-
-    def _part(self, start: int) -> str:
-        """The word up to start, without the punctuation that it ends with; '' if nothing is left."""
-        first, z = self.word.start(), start
-        while z > self.cut and self.text[z - 1] in _EDGE:
-            z -= 1
-        self.cut = z
-        if z - first <= LONG:
-            return fold(self.text[first:z])
-        self.sum.update(DIGIT.sub("0", self.text[self.summed : z].lower()).encode("utf-8", "surrogatepass"))
-        self.summed = z
-        return "~" + self.sum.hexdigest()
-
-
-def slot_hash(pattern: str) -> int:
-    return xxhash.xxh3_64_intdigest(pattern.encode("utf-8", "surrogatepass")) - (1 << 63)
+        self.text, spans = text, [m.span() for m in TOKEN.finditer(text)]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def _token(self, i: int) -> str:
+        """Lower case, runs of digits as one 0; '' beyond either end."""
+        return _short(DIGITS.sub("0", self.text[self.starts[i] : self.ends[i]].lower())) if 0 <= i < len(self.starts) else ""
+
+    def _glue(self, a: int, b: int) -> str:
+        return _short(re.sub(r"\s+", " ", self.text[a:b]), GLUE)
+
+    def of(self, start: int, end: int) -> list[str]:
+        """The patterns that a span stands in, each named by its width; _ marks the span."""
+        i, j = bisect.bisect_right(self.ends, start) - 1, bisect.bisect_left(self.starts, end)
+        text, filler = self.text, self.text[start:end]
+        one, two, after = self._token(i), self._token(i - 1), self._token(j)
+        before = self._glue(self.ends[i] if i >= 0 else 0, start)
+        behind = self._glue(end, self.starts[j] if j < len(self.starts) else len(text))
+        left, right = (x if not x.isspace() else " " for x in (text[start - 1 : start] if start else "", text[end : end + 1]))
+        own, whole = shape(filler), form(filler)
+        return [
+            f"2 {two} {one}{before}_{right}", f"1 {one}{before}_{right}", f"both {one}{before}_{behind}{after}",
+            f"1 {one}{before}_{right} as {own}", f"after {left}_{behind}{after} as {own}", f"form {whole}",
+            f"begins {filler[:4]} of {end - start}", *([f"shape {own}"] if len(own) > PLAIN else []),
+        ]
 
 
 def _free(spans: list[tuple[int, int]]):
@@ -157,124 +156,82 @@ def _free(spans: list[tuple[int, int]]):
 
 
 def seeds(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the base spans and of the long hexadecimal secrets that lie outside of them."""
+    """(start, end, kind) of the base spans and of the secrets that lie outside of them."""
     out = [(a, b, kind) for kind, spans in base.items() for a, b in spans]
     free = _free([x[:2] for x in out])
-    for m in HEX.finditer(text):
+    for m in SECRET.finditer(text):
         a, b = m.span()
-        if (not a or text[a - 1].isspace() or text[a - 1] in _BREAK) and LAST.match(text, b) and not m[0].isdigit() and free(a, b):
-            out.append((a, b, "secret"))
-    return out
-
-
-def plain(s: str) -> bool:
-    """A word of prose, which is no identifier unless it is quoted or bracketed: letters and inner hyphens or apostrophes, no capital but the first."""
-    return s.replace("-", "").replace("'", "").replace("’", "").isalpha() and s[1:] == s[1:].lower()
-
-
-def fillers(text: str, heads: Container[str]) -> list[tuple[int, int, str]]:
-    """(start, end, kinds) of the runs that may stand in a slot: those whose two words before are in heads; kinds: '' for all.
-
-    A run lies between breaks, without .:!? at its end but with the padding of base64."""
-
-    out, two, one, before = [], "", "", "" in heads
-    for m in WORD.finditer(text):
-        word, first = m[0], m.start()
-        if before or not word.isalnum():
-            head, cut = before, 0
-            for r in RUN.finditer(word):
-                a, b = r.span()
-                if a and word[cut:a].strip(_EDGE):
-                    head = a > LONG or f"{one} {fold(word[:a].rstrip(_EDGE))}".lstrip() in heads
-                cut = a
-                if not head:
-                    continue
-                b = a + len(r[0].rstrip(".:!?"))
-                if b == r.end() and word[b : b + 1] == "=" and (pad := PADDING.match(word, b)) and (pad.end() - a) % 4 == 0 and BASE64.fullmatch(word, a, b):
-                    b = pad.end()
-                if b - a >= 6:
-                    out.append((first + a, first + b, ""))
-        low = word.lower()
-        two, one = one, low if low.isalpha() and len(word) <= LONG else fold(word)
-        before = f"{two} {one}".lstrip() in heads
+        if (not a or text[a - 1].isspace() or text[a - 1] in _STOPS) and LAST.match(text, b) and free(a, b):
+            digits = sum(map(len, DIGITS.findall(m[0])))
+            if m[0][0] == "A" or 2 < digits < b - a - 2:
+                out.append((a, b, "secret"))
     return out
 
 
-def groups(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kinds) of digits in groups, as cards and phones have them."""
-    out = [(*m.span(), "card,phone") for m in GROUPS.finditer(text) if not m[0].isdigit() and 9 <= len(DIGIT.findall(m[0])) <= 19]
+def runs(text: str) -> list[tuple[int, int]]:
+    """Spans of the runs between breaks that look like identifiers or are quoted, without .:!? at the end but with the padding of base64."""
+    out, end, sign = [], 0, SIGN.search(text)
+    while sign:
+        a, b = sign.start(), RUN.match(text, sign.start()).end()
+        while a > end and text[a - 1] not in _STOPS and not text[a - 1].isspace():
+            a -= 1
+        end = b
+        while text[b - 1] in ".:!?":
+            b -= 1
+        if b == end and text[b : b + 1] == "=" and (pad := PADDING.match(text, b)) and (pad.end() - a) % 4 == 0 and BASE64.fullmatch(text, a, b):
+            end = b = pad.end()
+        if b - a >= LEAST:
+            out.append((a, b))
+        sign = SIGN.search(text, end)
+    known = set(out)
+    return out + [m.span(1) for m in QUOTED.finditer(text) if m.span(1) not in known]
+
+
+def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, kinds) of what may be discovered outside of the taken spans, none within another; kinds: '' for all."""
+    plain = runs(text)
+    found, known = [(a, b, "") for a, b in plain], set(plain)
+    found += [(*m.span(), "card,phone") for m in GROUPS.finditer(text) if not m[0].isdigit() and 9 <= sum(c.isdigit() for c in m[0]) <= 19 and m.span() not in known]
     if "+" in text:
-        out += [(*m.span(), "phone") for m in PHONE.finditer(text) if 6 <= len(DIGIT.findall(m[0])) <= 19]
+        found += [(*m.span(), "phone") for m in PHONE.finditer(text) if 6 <= sum(c.isdigit() for c in m[0]) <= 19 and m.span() not in known]
+    free, out, end = _free(taken), [], 0
+    for a, b, kinds in sorted((x for x in found if free(*x[:2])), key=lambda x: (x[0], -x[1], x[2])):
+        if a >= end:
+            out.append((a, b, kinds))
+            end = b
+        elif b > end and b - a > end - out[-1][0]:  # a longer one that begins within the last
+            out[-1], end = (a, b, kinds), b
     return out
 
 
-def tails(heads: Container[str]) -> tuple[frozenset[tuple[str, str]], frozenset[str], bool]:
-    """The pairs of words of the heads, what they end with before punctuation, and whether may_hold() can tell texts by them."""
-    pairs = frozenset(("", *h.split(" "))[-2:] for h in heads)
-    return pairs, frozenset(x[-1] for h in heads if (x := h.translate(_SPACED).split())), "" not in heads and not any("~" in h for h in heads)
+def number(s: str) -> int:
+    """64 bits of an instance."""
+    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def may_hold(text: str, pairs: frozenset[tuple[str, str]], ends: frozenset[str], tells: bool) -> bool:
-    """False only if no run of the text has a head before it; takes few passes and no loop over words."""
-    if not tells or "Σ" in text:  # whose lower case depends on what follows
-        return True
-    low = DIGITS.sub("0", text.lower()).split()
-    if not pairs.isdisjoint(zip(["", *low], low, strict=False)):
-        return True
-    # A head may end within a word, before a quote, a bracket or the like.
-    return not all(ends.isdisjoint(w.translate(_SPACED).split()[:-1]) for w in low if not w.isalnum())
+def hidden(instance: int, fifths: int) -> bool:
+    """Whether an instance is withheld from the seeds, for trials: of the last fifths of five equal parts."""
+    return instance % 5 >= 5 - fifths
 
 
-def occurrences(text: str, base: dict[str, list[tuple[int, int]]], slots: Container[int], heads: Container[str], search: bool = True) -> list[tuple[str, str, str, int, int, bool, str]]:
-    """(pattern, kind or '', instance, start, end, whether it may be discovered, kinds) of the seeds and other runs in the slots."""
-    if not slots:
+def occurrences(text: str, base: dict[str, list[tuple[int, int]]], masked: int = 0) -> list[dict]:
+    """Seeds and candidates with their patterns; seeds that masked withholds are candidates like others."""
+    own = [(a, b, kind) for a, b, kind in seeds(text, base) if not masked or not hidden(number(text[a:b]), masked)]
+    spans = [(a, b, kind, "") for a, b, kind in own] + [(a, b, "", kinds) for a, b, kinds in candidates(text, [x[:2] for x in own])]
+    if not spans:
         return []
-    own = seeds(text, base)
-    free = _free([x[:2] for x in own])
-    spans = [(a, b, kind, "") for a, b, kind in own] + [(a, b, "", kinds) for a, b, kinds in [*(fillers(text, heads) if search else ()), *groups(text)] if free(a, b)]
-    out, contexts = [], Contexts(text)
-    for a, b, kind, kinds in sorted(spans):
-        pattern = contexts.of(a, b)
-        if slot_hash(pattern) in slots:
-            s = text[a:b]
-            quoted = text[a - 1 : a] in _QUOTES and text[b : b + 1] in _QUOTES if a and b < len(text) else False
-            out.append((pattern, kind, s, a, b, not kind and (quoted or not plain(s)), kinds))
-    return out
+    contexts = Contexts(text)
+    return [{"kind": kind, "kinds": kinds, "instance": number(text[a:b]), "start": a, "stop": b, "patterns": contexts.of(a, b)} for a, b, kind, kinds in sorted(spans)]
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+_FOUND = "found array<struct<kind:string,kinds:string,instance:long,start:int,stop:int,patterns:array<string>>>"
 
 
-def find_slots(docs: DataFrame, support: int) -> tuple[list[int], list[str]]:
-    """Hashes of the patterns that enough distinct seeds of a kind stand in, and the words of such patterns."""
-    schema = pa.schema([("slot", pa.int64()), ("head", pa.string()), ("kind", pa.string()), ("instance", pa.int64())])
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for text in b.column("text").to_pylist():
-                contexts = Contexts(text)
-                for a, z, kind in sorted(seeds(text, base_spans(text))):
-                    pattern = contexts.of(a, z)
-                    rows.append((slot_hash(pattern), pattern.rsplit(" ", 1)[0], kind, slot_hash(text[a:z])))
-            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in schema.names}, schema)
-
-    seen = _texts(docs).select("text").mapInArrow(run, "slot long, head string, kind string, instance long").distinct()
-    found = seen.groupBy("slot", "head", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("slot", "head").distinct().collect()
-    return [r["slot"] for r in found], sorted({r["head"] for r in found})  # at most a number and two words for each `support` seeds
-
-
-_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<pattern:string,kind:string,instance:string,shape:string,start:int,stop:int,open:boolean,kinds:string>>"
-
-
-def scan(docs: DataFrame, slots: list[int], heads: list[str]) -> DataFrame:
+def scan(docs: DataFrame, masked: int = 0) -> DataFrame:
     """A row for each document: base spans, and the occurrences that bootstrapping works on."""
-    found_type = pa.list_(pa.struct([("pattern", pa.string()), ("kind", pa.string()), ("instance", pa.string()), ("shape", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("open", pa.bool_()), ("kinds", pa.string())]))
-    held = docs.sparkSession.sparkContext.broadcast((frozenset(slots), frozenset(heads), *tails(heads)))
+    found_type = pa.list_(pa.struct([("kind", pa.string()), ("kinds", pa.string()), ("instance", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("patterns", pa.list_(pa.string()))]))
 
     def run(batches):
-        slots, heads, pairs, ends, tells = held.value
         for b in batches:
             counts, spans, found = [[], [], [], []], [], []
             for text in b.column("text").to_pylist():
@@ -282,54 +239,75 @@ def scan(docs: DataFrame, slots: list[int], heads: list[str]) -> DataFrame:
                 for i, kind in enumerate(KINDS[:4]):
                     counts[i].append(len(base[kind]))
                 spans.append(",".join(f"{kind}:{a}:{z}" for kind in KINDS[:4] for a, z in base[kind]))
-                found.append([{"pattern": p, "kind": k, "instance": x, "shape": shape(x), "start": a, "stop": z, "open": o, "kinds": ks} for p, k, x, a, z, o, ks in occurrences(text, base, slots, heads, may_hold(text, pairs, ends, tells))])
+                found.append(occurrences(text, base, masked))
             cols = {"doc_id": b.column("doc_id")} | {f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts, strict=False)}
             yield pa.RecordBatch.from_pydict(cols | {"base": pa.array(spans, pa.string()), "found": pa.array(found, found_type)})
 
-    return _texts(docs).mapInArrow(run, _SCHEMA)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(run, f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, {_FOUND}")
 
 
-def score_patterns(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
-    """pattern, kind, shape, score for the slots of enough distinct seeds; seen: a row for each occurrence and shape."""
-    edges = materialize(seen.groupBy("pattern", "shape", "instance", "kind").agg(F.count("*").alias("n")), "pii-graph")
-    slots = edges.where("kind <> ''").groupBy("pattern", "shape", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support).drop("seeds")
-    near = materialize(edges.withColumnRenamed("kind", "own").join(slots, ["pattern", "shape"]), "pii-slots")
-    trust = F.when(F.col("own") == F.col("kind"), 1.0).otherwise(0.0)
-    scores = None
-    for _ in range(rounds):
-        rated = near.withColumn("trust", trust)
-        if scores is not None:
-            best = near.where("own = ''").join(scores, ["pattern", "shape", "kind"]).groupBy("instance", "kind").agg(F.max(F.col("score") ** 2).alias("best"))
-            rated = near.join(best, ["instance", "kind"], "left").withColumn("trust", F.when(F.col("own") == "", F.coalesce("best", F.lit(0.0))).otherwise(trust))
-        scores = materialize(rated.groupBy("pattern", "shape", "kind").agg((F.sum(F.col("n") * F.col("trust")) / F.sum("n")).alias("score")), "pii-scores")
-    return scores
+_FITS = "kinds = '' OR contains(kinds, kind)"
 
 
-def find_pii(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, counts of base spans, base (string) and added: spans that confident patterns discovered."""
-    rows = materialize(scan(docs, *find_slots(docs, support)).withColumn("_row", F.monotonically_increasing_id()), "pii-scan")
+def score_patterns(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """pattern, kind, score, instances of the confident patterns. seen: pattern, instance, kind ('' for candidates), kinds."""
+    one = seen.groupBy("pattern", "instance").agg(F.max("kind").alias("own"), F.min("kinds").alias("kinds"))
+    counted = materialize(one, "pii-graph")
+    # A pattern of fewer instances than it needs can't become confident, so it may go at once.
+    totals = counted.groupBy("pattern").agg(F.count("*").alias("total"), F.count_if(F.col("own") != "").alias("seeded"))
+    totals = materialize(totals.where(F.col("total") >= support), "pii-totals")
+    edges = materialize(counted.join(totals, "pattern", "left_semi"), "pii-edges")
+    sure = materialize(edges.where("own <> ''").select("instance", F.col("own").alias("kind"), F.lit(1.0).alias("trust")).distinct(), "pii-seeds")
+    trusted, scored = sure, None
+    for _ in range(rounds):
+        used = [trusted] if trusted is not sure else []
+        # An instance is one of a kind wherever it stands, as a seed or not.
+        rated = edges.join(trusted, "instance").where(_FITS)
+        sums = rated.groupBy("pattern", "kind").agg(F.sum("trust").alias("s"), F.count_if(F.col("own") == F.col("kind")).alias("o"), F.count("*").alias("instances"))
+        sums = sums.where(F.col("instances") >= support)
+        other, unknown = F.col("seeded") - F.col("o"), F.col("total") - F.col("seeded") - (F.col("s") - F.col("o"))
+        score = F.col("s") / (F.col("s") + other + DOUBT * F.greatest(unknown, F.lit(0)))
+        before = scored
+        scored = materialize(sums.join(totals, "pattern").select("pattern", "kind", score.alias("score"), "instances").where(F.col("score") >= confidence), "pii-patterns")
+        gained = edges.where("own = ''").join(scored, "pattern").where(_FITS).groupBy("instance", "kind").agg((F.max("score") * F.max("score")).alias("trust"))
+        trusted = materialize(sure.union(gained).groupBy("instance", "kind").agg(F.max("trust").alias("trust")), "pii-trusted")
+        drop_tables(*used, *([before] if before is not None else []))
+    drop_tables(counted, totals, edges, sure, trusted)
+    return scored
+
+
+def find_pii(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT, masked: int = 0) -> DataFrame:
+    """doc_id, counts of base spans, base (string) and added: spans that confident patterns discovered.
+
+    masked: fifths of the seeds' instances that are withheld and left to be discovered, for trials."""
+    rows = materialize(scan(docs, masked).withColumn("_row", F.monotonically_increasing_id()), "pii-scan")
     seen = rows.select("_row", F.explode("found").alias("f")).select("_row", "f.*")
-    # A slot is a pattern with any filler, and a pattern with fillers of one shape: either may be confident.
-    seen = seen.withColumn("shape", F.explode(F.array("shape", F.lit(ANY))))
-    # A group that begins with a run of its own is counted by that run.
-    sure = score_patterns(seen.where("kinds = '' OR NOT instance RLIKE '^[+0-9-]{6}'"), rounds, support).where(F.col("score") >= confidence)
-    new = seen.where("open").drop("kind").join(sure, ["pattern", "shape"]).where("kinds = '' OR contains(kinds, kind)").select("_row", "kind", "start", "stop")
-    # Seeds that are no base span count as discovered where their own pattern is confident.
-    trusted = seen.where("kind = 'secret'").join(sure, ["pattern", "shape", "kind"], "left_semi").select("_row", "kind", "start", "stop")
-    added = new.union(trusted).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "kind"))).alias("added"))
+    each = seen.withColumn("pattern", F.explode("patterns")).drop("patterns")
+    sure = score_patterns(each.select("pattern", "instance", "kind", "kinds"), rounds, support, confidence)
+    # Seeds that are no base span are added where a pattern of theirs is confident, and what isn't a seed by its best one.
+    slots = each.where("kind = '' OR kind = 'secret'").withColumnRenamed("kind", "own").join(sure, "pattern").where(f"({_FITS}) AND (own = '' OR own = kind)")
+    new = slots.groupBy("_row", "start", "stop").agg(F.max(F.struct("score", "kind")).alias("best"))
+    added = new.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", F.col("best.kind").alias("kind")))).alias("added"))
     return rows.drop("found").join(added, "_row", "left").drop("_row")
 
 
 def op9_pii_bootstrap(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, then n_secret and n_added (discovered spans) and n_spans (all spans)."""
     found = find_pii(table(spark, sf_dir, "documents"))
-    added = F.coalesce("added", F.array().cast("array<struct<start:int,stop:int,kind:string>>"))
+    found = found.withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:int,stop:int,kind:string>>")))
 
     def of(kind: str):
         """The spans of one kind, by start."""
         base = F.filter(F.split("base", ","), lambda x: x.startswith(kind + ":"))
-        new = F.transform(F.filter(added, lambda x: x["kind"] == kind), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string")))
+        new = F.transform(F.filter("added", lambda x: x["kind"] == kind), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string")))
         placed = F.transform(F.array_distinct(F.concat(base, new)), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("a"), x.alias("x")))
         return F.transform(F.array_sort(placed), lambda y: y["x"])
 
     spans = F.array_join(F.concat(*[of(k) for k in KINDS]), ",")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+    n_added = F.size("added").cast("long")
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"),
+        F.size(F.filter("added", lambda x: x["kind"] == "secret")).cast("long").alias("n_secret"), n_added.alias("n_added"),
+        (F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + n_added).alias("n_spans"),
+    )
