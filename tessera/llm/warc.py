@@ -1,13 +1,14 @@
 """WARC archives of individually compressed records with an embedded Zstandard dictionary.
 
 Each archive starts with a skippable frame (magic 0x184D2A5D) that holds a dictionary built from records of
-that very archive; each record is a frame of its own. Archives go to a shared folder under names that depend
-on the partition only, by a temporary name and a rename, so a task that is run again replaces its own file; only archives that
-finished tasks name are read.
+that very archive; each record is a frame of its own. Equal payloads are found by their digests alone, and pages are
+dealt by page and not by payload, so a payload that very many pages have is no large group. Archives go to a
+shared folder under names that hold the attempt, so no attempt touches another's file; a manifest beside them, written
+as a table and so by finished attempts only, says which archives count and are read.
 
 Defined cases: null html is an empty payload; rows with a null page_id are archived too (never referred to);
 rows that repeat a page_id and its payload are each a response; a null url leaves the header out; an empty
-table gives no archive and an empty result; other columns are ignored.
+table gives no archive and an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ import struct
 
 import pyarrow as pa
 import pyarrow.fs
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_dir, table
+from tessera.llm.common import fresh_dir, materialize, table
 
 MAGIC, DICT_MAGIC = 0x184D2A5D, 0xEC30A437
 #: Bytes of records before an archive ends, of records that a dictionary is built from, and of the dictionary.
@@ -50,9 +52,10 @@ def record(page_id, url, payload: bytes, first) -> bytes:
 
 
 def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """Trained on the first TRAIN_BYTES of records; plain content where they are too few to train on."""
+    """Trained on whole records drawn over the archive by their hashes, TRAIN_BYTES of them; a record of more than a quarter
+    of that lends its first quarter. Plain content where they are too few to train on."""
     samples, held = [], 0
-    for r in records:
+    for r in sorted(records, key=xxhash.xxh3_64_intdigest):
         samples.append(r[: TRAIN_BYTES // 4])
         held += len(samples[-1])
         if held >= TRAIN_BYTES:
@@ -106,12 +109,20 @@ def with_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, first: the smallest page_id with an equal payload where several have it."""
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.cast("binary").alias("payload"), F.sha1(html).alias("_key"))
-    shared = keyed.where(F.length("payload") >= min_bytes).groupBy("_key").agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "first")
-    return keyed.join(shared, "_key", "left").select("page_id", "url", "payload", "first")
+    light = keyed.where(F.length("payload") >= min_bytes).select("page_id", "_key")
+    shared = light.groupBy("_key").agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "first")
+    # Both are written first: joined right away, rows and aggregate would share one exchange, which Spark could not split
+    # where one payload is very common. Payloads are then dealt by page, not by payload.
+    refs = materialize(light.join(materialize(shared, "warc-shared"), "_key").distinct(), "warc-first").withColumnsRenamed({"page_id": "_page", "_key": "_same"})
+    found = keyed.join(refs, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_key") == F.col("_same")), "left")
+    return found.select("page_id", "url", "payload", "first")
+
+
+_MANIFEST = "name string, records long, bytes long"
 
 
 def write_archives(records: DataFrame, path: str) -> DataFrame:
-    """Writes archives of with_first()'s rows to the folder; a row for each archive: name, records, bytes."""
+    """Writes archives of with_first()'s rows to the folder; the manifest, a row for each archive: name, records, bytes."""
 
     def write(batches):
         fs, at = pyarrow.fs.FileSystem.from_uri(path)
@@ -119,14 +130,12 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
         held, size, k = [], 0, 0
 
         def close():
-            name = f"part-{task.partitionId():06d}-{k:05d}.warc.zst"
-            data, tried = pack(held), f"{at}/.{name}.{task.taskAttemptId()}"
+            # The attempt is in the name: nothing is replaced or deleted, and what a lost attempt left is in no manifest.
+            name = f"part-{task.partitionId():06d}-{k:05d}-{task.taskAttemptId()}.warc.zst"
+            data = pack(held)
             fs.create_dir(at, recursive=True)
-            with fs.open_output_stream(tried) as f:
+            with fs.open_output_stream(f"{at}/{name}", compression=None) as f:
                 f.write(data)
-            if fs.get_file_info(f"{at}/{name}").type == pyarrow.fs.FileType.File:
-                fs.delete_file(f"{at}/{name}")  # an earlier try's; not every file system renames over a file
-            fs.move(tried, f"{at}/{name}")
             return pa.RecordBatch.from_pydict({"name": [name], "records": [len(held)], "bytes": [len(data)]})
 
         for b in batches:
@@ -139,12 +148,11 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
         if held:
             yield close()
 
-    done = records.mapInArrow(write, "name string, records long, bytes long")
-    return records.sparkSession.createDataFrame(done.collect(), done.schema)  # a row for each archive
+    return materialize(records.mapInArrow(write, _MANIFEST), "warc-manifest")
 
 
-def read_archives(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """A row for each record of the named archives; a response's payload is held against its digest."""
+def read_archives(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """A row for each record of the archives that the manifest names; a response's payload is held against its digest."""
     fields = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
     def page(urn):
@@ -172,17 +180,20 @@ def read_archives(spark: SparkSession, path: str, names: list[str]) -> DataFrame
 
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in fields.split(", ")])
-    if not names:
-        return spark.createDataFrame([], fields)
-    # By name and not as a folder: a lost task may have left archives behind that no finished one named.
-    files = spark.read.format("binaryFile").load([f"{path}/{n}" for n in names])
-    return files.select("content").mapInArrow(read, fields)
+    at = path if "://" in path else f"file://{path}"
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    if not jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm):
+        return spark.createDataFrame([], fields)  # an empty manifest: no task made the folder
+    # The folder is listed by Spark, and archives that no finished attempt named go before their contents are read.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(at)
+    named = files.withColumn("name", F.regexp_extract("path", "[^/]+$", 0)).join(manifest.select("name"), "name", "left_semi")
+    return named.select("content").mapInArrow(read, fields)
 
 
 def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "warc")
     made = write_archives(with_first(table(spark, sf_dir, "pages")), path)
-    back = read_archives(spark, path, [r["name"] for r in made.collect()])
+    back = read_archives(spark, path, made)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

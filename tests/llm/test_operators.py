@@ -232,11 +232,14 @@ def test_archives_round_trip(spark, tmp_path):
     rows = [(i, f"http://x/{i}", f"<p>{i % 7}</p>" * 50) for i in range(60)] + [(100, None, None), (101, "a\r\nb", ""), (102, "u", "ü🙂" * 30_000), (None, "n", "<p>1</p>" * 50), (103, "same", "z"), (103, "same", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     path = f"file://{tmp_path}/warc"
-    made = warc.write_archives(warc.with_first(pages), path).collect()
-    (tmp_path / "warc" / "part-900000-00000.warc.zst").write_bytes(b"left behind by a lost task")
-    names = [r.name for r in warc.write_archives(warc.with_first(pages), path).collect()]
-    assert sorted(names) == sorted(r.name for r in made)  # written again over the first
-    got = warc.read_archives(spark, path, names).collect()
+    lost = warc.write_archives(warc.with_first(pages), path).collect()
+    (tmp_path / "warc" / "part-900000-00000-9.warc.zst").write_bytes(b"left behind by a lost task")
+    # Written again beside the first: a finished attempt's archives stay as they are, and only those that the manifest names are read.
+    before = {x.name: x.read_bytes() for x in (tmp_path / "warc").glob("*.zst")}
+    manifest = warc.write_archives(warc.with_first(pages), path)
+    made = manifest.collect()
+    assert {x.name for x in made}.isdisjoint(x.name for x in lost) and all((tmp_path / "warc" / n).read_bytes() == x for n, x in before.items())
+    got = warc.read_archives(spark, path, manifest).collect()
     assert len(got) == len(rows) == sum(r.records for r in made)
     first = {}
     for i, _, h in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
@@ -257,7 +260,18 @@ def test_archives_round_trip(spark, tmp_path):
         assert o.decompress(data[n:]).startswith(b"WARC/1.1\r\n")
         n, frames = len(data) - len(o.unused_data), frames + 1
     assert frames == made[0].records
-    assert warc.read_archives(spark, path, []).count() == 0 and warc.write_archives(warc.with_first(pages.limit(0)), path).count() == 0
+    nothing = warc.write_archives(warc.with_first(pages.limit(0)), path + "-none")
+    assert nothing.count() == warc.read_archives(spark, path, nothing).count() == warc.read_archives(spark, path + "-none", nothing).count() == 0
+
+
+def test_one_payload_on_most_pages(spark, tmp_path):
+    """A hot payload, and columns of every name that the operator uses itself."""
+    rows = [(i, f"u{i}", "<p>hot</p>" if i % 10 else f"<p>{i}</p>", *"abcdefg") for i in range(3000, 0, -1)]
+    names = ["_key", "first", "payload", "_n", "_page", "_same", "name"]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names)).repartition(5)
+    path = f"file://{tmp_path}/hot"
+    got = warc.read_archives(spark, path, warc.write_archives(warc.with_first(pages), path)).collect()
+    assert {r.page_id: (r.record_type, r.refers_to) for r in got} == {i: ("revisit", 1) if i % 10 and i > 1 else ("response", None) for i, *_ in rows} and len(got) == 3000
 
 
 # 7
