@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, components, decontaminate, fingerprints, line_dedup, ngram_join, pieces, pii, quality, sharding, substring_dedup, warc
 from tests.llm.conftest import LINE, PASSAGE
+from tests.oracle import same
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -518,19 +519,105 @@ def test_fingerprints(spark, odd, none, tmp_path):
     assert fingerprints.op10_merkle_fingerprints(spark, f"{tmp_path}/none").count() == 0
 
 
+def tree_of(spark, *texts):
+    """(root, chapters, sections, paragraphs) as the operator shows them."""
+    df = fingerprints.with_leaves(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string"), leaf="t")
+    got = fingerprints.with_fingerprints(df, f="leaf").select("i", "f", *[fingerprints.branches(F.col("f"), x).alias(x) for x in fingerprints.LEVELS]).orderBy("i").collect()
+    return [(r.f.split("/")[0], r.chapters, r.sections, r.paragraphs) for r in got], [r.f for r in got]
+
+
+def test_trees_equal_a_plain_version(spark):
+    """The same tree built in Python from Spark's own hashes of atoms and of pairs."""
+    rng, mask = random.Random(6), 2**64 - 1
+    word = lambda: "".join(rng.choice("abcdé漢я") for _ in range(rng.randrange(1, 9)))
+    texts = ["", "one", "\n\n", "x" * 200, "漢字" * 300, " ".join(word() for _ in range(3000)), "\n".join(" ".join(word() for _ in range(rng.randrange(12))) for _ in range(400))]
+    atoms = []
+    for t in texts:
+        own, held = [], ""
+        for c in t:
+            held += c
+            if c in " \n" or len(held) == 64:
+                own.append(held)
+                held = ""
+        atoms.append(own + [held] if held or not own else own)
+    known = {r.a: r.h for r in spark.createDataFrame([(a,) for a in {a for x in atoms for a in x}], "a string").select("a", F.xxhash64("a").alias("h")).collect()}
+    (got, _), xx = tree_of(spark, *texts), {}
+
+    def chained(groups):
+        """Spark's xxhash64(h, x) chained over all groups at once."""
+        state = [0] * len(groups)
+        for i in range(max(map(len, groups))):
+            live = [(g, state[g], x[i]) for g, x in enumerate(groups) if i < len(x)]
+            new = [k for k in {(h, x) for _, h, x in live} if k not in xx]
+            if new:
+                xx.update({(r.h, r.x): r.y for r in spark.createDataFrame(new, "h long, x long").select("h", "x", F.xxhash64("h", "x").alias("y")).collect()})
+            for g, h, x in live:
+                state[g] = xx[h, x]
+        return state
+
+    def grouped(items, closes):
+        out, held = [], []
+        for i, x in enumerate(items):
+            held.append(x)
+            if closes(i) or i == len(items) - 1:
+                out.append(held)
+                held = []
+        return out
+
+    for own, (root, *levels) in zip(atoms, got, strict=True):
+        h = [known[a] for a in own]
+        want = chained(grouped(h, lambda i: h[i] % (2 if len(own[i]) == 64 else 16) == 0 or own[i].endswith("\n")))
+        trees = [want]
+        for _ in range(2):
+            below = trees[0]
+            trees.insert(0, chained(grouped(below, lambda i: below[i] % 8 == 0)))
+        assert [[f"{x & mask:016X}" for x in level] for level in trees] == levels
+        top = f"{len(trees[0])} " + " ".join(map(str, trees[0]))
+        assert root == hashlib.sha256(top.encode()).hexdigest()[:32]
+
+
 def test_differing_branches_locate_an_edit(spark):
-    lines = [f"line {i} of a text" for i in range(100)]
-    docs = spark.createDataFrame([("\n".join(lines), "\n".join([*lines[:50], "edited", *lines[51:]]))], "a string, b string")
-    tree = docs.select(fingerprints.leaves(F.col("a")).alias("a"), fingerprints.leaves(F.col("b")).alias("b"))
-    tree = tree.select("*", fingerprints.section_ends(F.col("a")).alias("ae"), fingerprints.section_ends(F.col("b")).alias("be"))
-    tree = tree.select(*[fingerprints.fingerprint(F.col(x), fingerprints.sections(F.col(x), F.col(x + "e"))).alias(x) for x in "ab"])
-    d = tree.select(fingerprints.differing(F.col("a"), F.col("b")).alias("d"), fingerprints.differing(F.col("a"), F.col("a")).alias("e")).head()
-    assert 1 <= len(d.d.sections) <= 2 and 1 <= len(d.d.paragraphs) <= 4 and d.e.sections == [] == d.e.paragraphs
+    lines = [f"line {i} of a text" for i in range(1000)]
+    _, (a, b) = tree_of(spark, "\n".join(lines), "\n".join([*lines[:500], "edited", *lines[501:]]))
+    pair = spark.createDataFrame([(a, b)], "a string, b string")
+    d, e, near, same = pair.select(fingerprints.differing(F.col("a"), F.col("b")), fingerprints.differing(F.col("a"), F.col("a")), fingerprints.likeness_of(F.col("a"), F.col("b")), fingerprints.likeness_of(F.col("a"), F.col("a"))).head()
+    assert 1 <= len(d.chapters) <= 2 and 1 <= len(d.sections) <= 2 and 1 <= len(d.paragraphs) <= 4 and e.chapters == e.sections == e.paragraphs == []
+    assert 0.98 < near < 1 == same
+
+
+def test_fingerprints_of_any_script(spark, tmp_path):
+    """Half of each text stays: likeness says so for words, capitals, and scripts without spaces or sentences; fingerprints stay short."""
+    rng = random.Random(7)
+    kinds = ["abcdefgh ", "ABCDEFGH ", "абвгдежз ", "漢字仮名交文章日本語。", "0123456789"]
+    rows = [(i, "".join(rng.choice(kinds[i % 5]) for _ in range(6000))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprints.op10_merkle_fingerprints(spark, str(tmp_path)).collect()
+    assert all(0.25 < r.near_edited < 0.75 and r.near_next == 0 and len(r.fingerprint) < 6000 / 4 for r in got)
+    pair = spark.createDataFrame([(r.fingerprint, r.edited_fingerprint, r.near_edited) for r in got], "a string, b string, n double")
+    assert pair.where(F.abs(fingerprints.likeness_of(F.col("a"), F.col("b")) - F.col("n")) > 1e-12).count() == 0
+
+
+PLAIN_SQL = """
+SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars, sha256(substr(coalesce(text, ''), 1, length(coalesce(text, '')) - length(coalesce(text, '')) // 2)
+  || substr(after, 1, length(coalesce(text, '')) // 2)) AS edited_sha256
+FROM (SELECT doc_id, text, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS after FROM documents WINDOW w AS (ORDER BY doc_id DESC))
+"""
+
+
+def test_edited_texts_equal_sql(spark):
+    same(fingerprints.op10_merkle_fingerprints(spark, "/root/testdata/sf0.01").select("doc_id", "n_chars", "edited_sha256"), PLAIN_SQL, "/root/testdata/sf0.01")
 
 
 def test_next_documents_over_many_buckets(spark):
     ids = random.Random(3).sample(range(-(10**12), 10**12), 6000)
-    got = fingerprints.with_next(spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(5)).collect()
+    got = fingerprints.with_next(spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(5), 200).collect()
     order = sorted(ids, reverse=True)
     follows = {a: f"text {b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
     assert {r.doc_id: r.next_text for r in got} == follows and len(got) == len(ids)
+    # Most rows share an id: they are split by the hash of their text.
+    texts = [f"text {i}" for i in range(2000)]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(9, "first"), (None, "last"), (3, "third")], "doc_id long, text string")
+    order = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").orderBy(F.desc(F.xxhash64("t"))).collect()]
+    ring = ["first", *order, "third", "last", "first"]
+    assert {r.text: r.next_text for r in fingerprints.with_next(docs.repartition(3), 50).collect()} == dict(zip(ring, ring[1:], strict=False))
