@@ -8,20 +8,22 @@ A document's set is its distinct shingles of five words, kept as sorted 64-bit h
    its cells than a quarter of its size goes. Within a block of documents a shared shingle is sent once.
 2. Equal sets become one class with a representative, the smallest doc_id.
 3. Candidates. Shingles of the representatives are counted exactly; ordered from the rarest, two linked sets
-   share one of their first floor(n / 4) + 1. Sets that share such a shingle form clusters.
-4. Tiles. Clusters of up to TILE sets are one tile each. In larger ones all sets are first held against the
-   cluster's own representative; those that link to it are connected already and need not be held against
-   each other. The rest are split by size band (a factor 4/3, so that only equal and adjacent bands can
-   link) into blocks, and tiles are the pairs of blocks with at least one such set.
-5. In a tile, hashed bitmaps bound the overlap from above by bit counts; pairs within the bound that are not
-   connected yet are intersected exactly.
-   Where links are counted (n_links) neither shortcut is taken: every pair of blocks of equal and adjacent bands is a
-   tile, every pair within the bound is intersected, and a class's links are weighted by the copies of the other one.
+   share one of their first floor(n / 4) + 1. Sets that share such a shingle form clusters. A block of sets sends one
+   of them for each shingle and ties the others to it, so a very common shingle costs one entry for a block.
+4. Tiles. Clusters of up to TILE sets and WORDS shingles are one tile each, BIN or so sets of them to a group. Larger
+   ones are split by size band (a factor 4/3, so that only equal and adjacent bands can link) into blocks of that
+   many sets and shingles, and every pair of blocks of equal and adjacent bands is a tile.
+5. In a tile, hashed bitmaps bound the overlap from above by bit counts; all pairs within the bound are intersected
+   exactly. Links are counted (n_links), a class's weighted by the copies of the other one, and those that connect what
+   was not connected within the tile are kept.
+   Where links need not be counted (keep_one), a cluster of several tiles is first held against its own
+   representative: sets that link to it are connected already, and are not held against each other.
 6. Components of the links give the smallest doc_id that each document reaches.
 
 Defined cases: a document without words has an empty set and links with nothing; a document of fewer than five
 words has its whole sequence as its only shingle; a null doc_id gives a null component and no link; rows
-that share a doc_id are nodes of one name, though n_links counts rows; an empty table gives an empty result; other columns are ignored.
+that share a doc_id are one document, which reaches what any of its rows links with, though n_links counts rows (those of the
+same doc_id too); an empty table gives an empty result; other columns are kept by keep_one and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -34,12 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_tables, hashed_words, materialize, mix, shingles, table
+from tessera.llm.common import hashed_words, materialize, mix, scratch, shingles, table, unused
 from tessera.llm.components import components
 
 WIDTH = 5
-#: Shingles of a block, sets of a tile's side, and sets of small clusters that one task takes together.
-BLOCK, TILE, BIN = 1_000_000, 512, 2000
+#: Shingles of a block, sets and shingles of a tile's side, and sets of small clusters that one task takes together.
+BLOCK, TILE, WORDS, BIN = 1_000_000, 512, 1 << 20, 64
 _U = np.uint64
 _SALT = _U(0xA0761D6478BD642F)
 
@@ -165,7 +167,7 @@ def members(docs: DataFrame) -> DataFrame:
 
 _BLOCKS = _schema("block long, reps binary, sizes binary, tokens binary, shard int, classes binary")
 _COUNTS = _schema("shard int, block long, tokens binary, counts binary")
-_POSTS = _schema("shard int, tokens binary, reps binary")
+_POSTS = _schema("shard int, tokens binary, reps binary, u binary, v binary")
 _SETS = _schema("rep long, n long, tokens binary")
 
 
@@ -248,18 +250,26 @@ def candidate_edges(blocks: DataFrame) -> DataFrame:
             first = first[own_kind[first] > 0]  # a shingle of one set only makes no candidate
             out_tok.append(own_tok[first])
             out_rep.append(np.full(len(first), rep))
-        tok, rep = _join(out_tok, _U), _join(out_rep, np.int64)
-        order = np.argsort(tok, kind="stable")
-        tok, rep, cut = tok[order], rep[order], split(tok[order])
-        return _table([{"shard": int(s), "tokens": tok[cut[s] : cut[s + 1]].tobytes(), "reps": rep[cut[s] : cut[s + 1]].tobytes()} for s in np.flatnonzero(np.diff(cut))], _POSTS[2])
-
-    def stars(key, t):
-        tok, rep = _join(_lists(t, "tokens", _U), _U), _join(_lists(t, "reps", np.int64), np.int64)
+        tok, least, pairs = tied(_join(out_tok, _U), _join(out_rep, np.int64))
+        cut = split(tok)
+        found = [{"shard": int(s), "tokens": tok[cut[s] : cut[s + 1]].tobytes(), "reps": least[cut[s] : cut[s + 1]].tobytes()} for s in np.flatnonzero(np.diff(cut))]
+        block = own["block"]
+        own = [{"shard": -1 - (block ^ (block >> 32)) % shards, "u": pairs[:, 0].tobytes(), "v": pairs[:, 1].tobytes()}] if len(pairs) else []
+        return _table(found + own, _POSTS[2])
+
+    def tied(tok, rep):
+        """Distinct shingles in order, the least set that each stands in, and pairs that tie the others to it."""
         order = np.lexsort((rep, tok))
         tok, rep = tok[order], rep[order]
-        new = np.concatenate([[True], tok[1:] != tok[:-1]])
+        new = np.concatenate([[True], tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, bool)
         least = rep[new][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([rep, least], 1)[rep != least], axis=0)
+        return tok[new], rep[new], np.unique(np.stack([rep, least], 1)[rep != least], axis=0)
+
+    def stars(key, t):
+        if key[0].as_py() < 0:  # what blocks tied themselves passes
+            pairs = np.stack([_join(_lists(t, "u", np.int64), np.int64), _join(_lists(t, "v", np.int64), np.int64)], 1)
+        else:
+            pairs = tied(_join(_lists(t, "tokens", _U), _U), _join(_lists(t, "reps", np.int64), np.int64))[2]
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
     counted = blocks.mapInArrow(send, _COUNTS[0]).groupBy("shard").applyInArrow(count, _BLOCKS[0])
@@ -278,13 +288,17 @@ class Tile:
     """The sets of a tile with their bitmap signatures."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets, self.n = sets, np.array([len(s) for s in sets], np.int64)
+        self.n = np.array([len(s) for s in sets], np.int64)
+        self.ends = np.cumsum(self.n)
         bits = min(8192, max(256, 1 << math.ceil(math.log2(4 * max(self.n)))))
         marks = np.zeros((len(sets), bits), bool)
         marks[np.repeat(np.arange(len(sets)), self.n), (mix(np.concatenate(sets) + _SALT) % _U(bits)).astype(np.int64)] = True
         self.bitmaps = np.packbits(marks, axis=1).view(_U)
         self.spare = self.n - np.bitwise_count(self.bitmaps).sum(1, dtype=np.int64)
         self.root = list(range(len(sets)))
+        # The sorted arrays once more, with a shingle's rank among the tile's in its place.
+        known, self.ranks = np.unique(np.concatenate(sets), return_inverse=True)
+        self.held = np.zeros(len(known), bool)
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -296,8 +310,21 @@ class Tile:
         both = np.bitwise_count(self.bitmaps[i] & self.bitmaps[js]).sum(1, dtype=np.int64)
         return np.minimum(self.spare[i], self.spare[js]) + both
 
-    def links(self, left: np.ndarray, right: np.ndarray, every: bool = False) -> list[tuple[int, int]]:
-        """Links between the two sides (or within one, given twice): every one, or those that connect what was not connected."""
+    def overlaps(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the sorted array i with each of the others."""
+        own = self.ranks[self.ends[i] - self.n[i] : self.ends[i]]
+        self.held[own] = True
+        sizes = self.n[js]
+        first = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) + np.repeat(self.ends[js] - sizes - first, sizes)
+        out = np.add.reduceat(self.held[self.ranks[at]], first, dtype=np.int64) if len(js) else sizes
+        self.held[own] = False
+        return out
+
+    def links(self, left: np.ndarray, right: np.ndarray, others: np.ndarray | None = None, copies: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Links between the two sides (or within one, given twice) that connect what was not connected.
+
+        With others every pair within the bound is verified, and the copies of each set's partners are added to it."""
         out, same = [], left is right
         right = right[np.argsort(self.n[right], kind="stable")]
         sizes = self.n[right]
@@ -306,13 +333,15 @@ class Tile:
             js = right[np.searchsorted(sizes, (3 * n + 3) // 4) : np.searchsorted(sizes, 4 * n // 3, side="right")]
             js = js[js > i] if same else js
             js = js[7 * self.bound(i, js) >= 3 * (n + self.n[js])]
+            if others is None:
+                js = js[np.array([self.find(i) != self.find(j) for j in js.tolist()], bool)]
+            js = js[7 * self.overlaps(i, js) >= 3 * (n + self.n[js])]
+            if others is not None:
+                others[i] += copies[js].sum()
+                others[js] += copies[i]
             for j in js.tolist():
-                if every:
-                    if linked(overlap(self.sets[i], self.sets[j]), n, len(self.sets[j])):
-                        out.append((i, j))
-                    continue
                 a, b = self.find(i), self.find(j)
-                if a != b and linked(overlap(self.sets[i], self.sets[j]), n, len(self.sets[j])):
+                if a != b:
                     self.root[b] = a
                     out.append((i, j))
         return out
@@ -331,11 +360,16 @@ def _pairs(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"u": x[:, 0], "v": x[:, 1]})
 
 
+def _clusters(t: pa.Table) -> list[np.ndarray]:
+    """Rows of each cluster of a group of small ones."""
+    cluster = t["cluster"].to_numpy()
+    order = np.argsort(cluster, kind="stable")
+    return [rows for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1) if len(rows) > 1]
+
+
 def _small(key, t):
     """A bin of small clusters."""
-    order = np.argsort(t["cluster"].to_numpy(), kind="stable")
-    cuts = np.flatnonzero(np.diff(t["cluster"].to_numpy()[order])) + 1
-    return _pairs([e for rows in np.split(order, cuts) if len(rows) > 1 for e in _edges(t, rows)])
+    return _pairs([e for rows in _clusters(t) for e in _edges(t, rows)])
 
 
 def _tile(key, t):
@@ -349,7 +383,7 @@ def _tile(key, t):
 
 
 _KEYED = _schema("rep long, n long, tokens binary, high long, low long")
-_LINKS = _schema("high long, low long, n long, others long")
+_LINKS = _schema("high long, low long, n long, others long, u long, v long")
 
 
 def unpacked(blocks: DataFrame) -> DataFrame:
@@ -368,32 +402,30 @@ def unpacked(blocks: DataFrame) -> DataFrame:
     return blocks.select("reps", "sizes", "tokens").mapInArrow(unpack, _KEYED[0])
 
 
-def _linked_rows(t: pa.Table, rows: np.ndarray, sides: np.ndarray | None = None) -> list[np.ndarray]:
-    """Key, size and number of linked rows of other classes for the given rows; sides: 0 or 1 for each, or all on one."""
+def _linked_rows(t: pa.Table, rows: np.ndarray, sides: np.ndarray | None = None) -> np.ndarray:
+    """_LINKS for the given rows; sides: 0 or 1 for each, or all on one."""
     key = np.stack([t[c].to_numpy()[rows] for c in ("high", "low", "n")], 1)
     first = np.sort(np.unique(key, axis=0, return_index=True)[1])  # a set comes again where rows repeat their doc_id and text
-    rows, key, copies = rows[first], key[first], t["copies"].to_numpy()[rows[first]]
+    rows, key, copies, reps = rows[first], key[first], t["copies"].to_numpy()[rows[first]], t["rep"].to_numpy()[rows[first]]
     tile = Tile([np.frombuffer(t["tokens"][int(i)].as_py(), _U) for i in rows])
     left = right = np.arange(len(rows))
     if sides is not None and sides.any():
         left, right = np.flatnonzero(sides[first] == 0), np.flatnonzero(sides[first] == 1)
     others = np.zeros(len(rows), np.int64)
-    for i, j in tile.links(left, right, every=True):
-        others[i] += copies[j]
-        others[j] += copies[i]
-    return [np.column_stack([key, others])[others > 0]]
+    ties = np.array(tile.links(left, right, others, copies), np.int64).reshape(-1, 2)
+    linked_ = np.column_stack([key, others, reps, reps])[others > 0]
+    zero = np.zeros((len(ties), 4), np.int64)
+    return np.concatenate([linked_, np.column_stack([zero, reps[ties[:, 0]], reps[ties[:, 1]]])])
 
 
 def _rows_of(parts: list[np.ndarray]) -> pa.Table:
-    x = np.concatenate([np.zeros((0, 4), np.int64), *parts])
+    x = np.concatenate([np.zeros((0, 6), np.int64), *parts])
     return pa.table(dict(zip(_LINKS[1], x.T, strict=True)), schema=_LINKS[2])
 
 
 def _small_counts(key, t):
     """A bin of small clusters."""
-    order = np.argsort(t["cluster"].to_numpy(), kind="stable")
-    cuts = np.flatnonzero(np.diff(t["cluster"].to_numpy()[order])) + 1
-    return _rows_of([x for rows in np.split(order, cuts) if len(rows) > 1 for x in _linked_rows(t, rows)])
+    return _rows_of([_linked_rows(t, rows) for rows in _clusters(t)])
 
 
 def _tile_counts(key, t):
@@ -401,58 +433,61 @@ def _tile_counts(key, t):
     side = t["side"].to_numpy()
     if key[1] != key[2] and len(np.unique(side)) < 2:
         return _rows_of([])  # one of the blocks is empty
-    return _rows_of(_linked_rows(t, np.arange(len(side)), side))
+    return _rows_of([_linked_rows(t, np.arange(len(side)), side)])
+
+
+def _bins(sets: DataFrame) -> int:
+    """Groups of small clusters, by sets and by shingles."""
+    n, words = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    return max(1, math.ceil(n / BIN), math.ceil(16 * words / WORDS))
+
+
+def _blocks_of(tile: int):
+    """Blocks that a group of sets is split into."""
+    return F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / WORDS)).cast("int")
+
 
+def placed_sets(blocks: DataFrame, clusters: DataFrame, named: DataFrame, tile: int) -> DataFrame:
+    """A row for each set of a cluster of several: its key, copies, cluster and whether that is a large one."""
+    # Aggregates that rows are joined with are written first: joined right away they would share an exchange by
+    # cluster, which Spark could not split where one cluster holds most rows.
+    own = clusters.join(named.select("rep", "n"), F.col("node") == F.col("rep"))
+    sizes = materialize(own.groupBy("component").agg((_blocks_of(tile) > 1).alias("large")), "near-sizes")
+    placed = clusters.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "large")
+    sets = unpacked(blocks).join(named.select("high", "low", "n", "copies"), ["high", "low", "n"])
+    return materialize(sets.join(placed, "rep"), "near-sets")
 
-def link_counts(blocks: DataFrame, clusters: DataFrame, classes: DataFrame, tile: int = TILE) -> DataFrame:
-    """high, low, n, others: for each class with links the rows of other classes that it links to; no pair is left out."""
+
+def link_counts(blocks: DataFrame, clusters: DataFrame, named: DataFrame, tile: int = TILE) -> DataFrame:
+    """high, low, n, others, u, v: for each class with links the rows of other classes that it links to, in each tile (no pair
+    is left out), and, where n is 0, links u, v that connect whatever links connect."""
     # Rows of one doc_id with different sets are nodes of one name: these are a cluster even where only they share shingles.
-    twins = classes.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-    clusters = clusters.union(twins.join(clusters, "node", "left_anti"))
-    sizes = materialize(clusters.join(classes.select("rep"), F.col("node") == F.col("rep")).groupBy("component").agg(F.count("*").alias("members")), "near-sizes")
-    placed = clusters.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "members")
-    sets = unpacked(blocks).join(classes.select("high", "low", "n", "copies"), ["high", "low", "n"])
-    sets = materialize(sets.join(placed, "rep"), "near-sets")
-    small = sets.where(F.col("members") <= tile)
-    bins = max(1, math.ceil(small.count() / BIN))
-    found = small.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))).groupBy("bin").applyInArrow(_small_counts, _LINKS[0])
+    twins = named.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+    sets = placed_sets(blocks, clusters.union(twins.join(clusters, "node", "left_anti")), named, tile)
+    small = sets.where("NOT large")
+    found = small.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(_bins(small)))).groupBy("bin").applyInArrow(_small_counts, _LINKS[0])
 
     # Pairs of blocks in one band of sizes or in neighbours, as in links(), but without a hub: every pair of sets is held together.
-    large = sets.where(F.col("members") > tile)
+    large = sets.where("large")
     if large.limit(1).count():
         large = large.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3) + 1e-9).cast("int"))
-        counts = materialize(large.groupBy("cluster", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("own")), "near-bands")
+        counts = materialize(large.groupBy("cluster", "band").agg(_blocks_of(tile).alias("own")), "near-bands")
         other = counts.select("cluster", F.col("band").alias("band2"), F.col("own").alias("blocks"))
         meets = counts.join(other, "cluster").where("abs(band - band2) <= 1").groupBy("cluster", "band").agg(F.first("own").alias("own"), F.collect_list(F.struct("band2", "blocks")).alias("meets"))  # at most three bands
         dealt = large.join(materialize(meets, "near-meets"), ["cluster", "band"]).withColumn("i", F.pmod(F.xxhash64("high", "low"), F.col("own")).cast("int"))
         dealt = dealt.withColumn("m", F.explode("meets")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m.blocks") - 1)))
         a, b = F.struct("band", "i"), F.struct(F.col("m.band2").alias("band"), F.col("j").alias("i"))
-        dealt = dealt.select("cluster", F.least(a, b).alias("one"), F.greatest(a, b).alias("two"), (a > b).cast("int").alias("side"), "high", "low", "n", "copies", "tokens")
+        dealt = dealt.select("cluster", F.least(a, b).alias("one"), F.greatest(a, b).alias("two"), (a > b).cast("int").alias("side"), "rep", "high", "low", "n", "copies", "tokens")
         found = found.union(dealt.groupBy("cluster", "one", "two").applyInArrow(_tile_counts, _LINKS[0]))
-    return found.groupBy("high", "low", "n").agg(F.sum("others").alias("others"))
+    return found
 
 
-def links(blocks: DataFrame, clusters: DataFrame, tile: int = TILE) -> DataFrame:
+def links(blocks: DataFrame, clusters: DataFrame, named: DataFrame, tile: int = TILE) -> DataFrame:
     """u, v: links that connect whatever links connect; clusters: node, component."""
-
-    def unpack(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                ids, n, tok, ends = _sets(row["reps"], row["sizes"], row["tokens"])
-                for a in range(0, len(ids), 256):
-                    yield _batch([{"rep": int(r), "n": int(k), "tokens": tok[z - k : z].tobytes()} for r, k, z in zip(ids[a : a + 256], n[a : a + 256], ends[a : a + 256], strict=True)], _SETS[2])
-
-    # Aggregates that rows are joined with are written first: joined right away they would share an exchange by
-    # cluster, which Spark could not split where one cluster holds most rows.
-    sizes = materialize(clusters.groupBy("component").agg(F.count("*").alias("members")), "near-sizes")
-    placed = clusters.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "members")
-    sets = blocks.select("reps", "sizes", "tokens").mapInArrow(unpack, _SETS[0])
-    sets = materialize(sets.join(placed, "rep"), "near-sets")
-    small = sets.where(F.col("members") <= tile)
-    bins = max(1, math.ceil(small.count() / BIN))
-    found = small.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))).groupBy("bin").applyInArrow(_small, "u long, v long")
-
-    large = sets.where(F.col("members") > tile)
+    sets = placed_sets(blocks, clusters, named, tile)
+    small = sets.where("NOT large")
+    found = small.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(_bins(small)))).groupBy("bin").applyInArrow(_small, "u long, v long")
+    large = sets.where("large").select("rep", "n", "tokens", "cluster")
     if not large.limit(1).count():
         return found
     hubs = large.where("rep = cluster").select("cluster", F.col("n").alias("hub_n"), F.col("tokens").alias("hub")).dropDuplicates(["cluster"])
@@ -467,7 +502,7 @@ def links(blocks: DataFrame, clusters: DataFrame, tile: int = TILE) -> DataFrame
     near = large.join(hubs, "cluster").mapInArrow(against_hub, "rep long, n long, tokens binary, cluster long, near boolean")
     near = near.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3) + 1e-9).cast("int"))
     near = materialize(near, "near-hubs")
-    counts = near.groupBy("cluster", "band", "near").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    counts = near.groupBy("cluster", "band", "near").agg(_blocks_of(tile).alias("blocks"))
     mine = counts.withColumnRenamed("blocks", "own")
     other = counts.select("cluster", F.col("band").alias("band2"), F.col("near").alias("near2"), "blocks")
     # For each kind of block, the kinds that it meets: never two that both link to the hub.
@@ -482,20 +517,38 @@ def links(blocks: DataFrame, clusters: DataFrame, tile: int = TILE) -> DataFrame
     return found.union(tiles).union(near.where("near AND rep <> cluster").select("rep", "cluster"))
 
 
-def near_duplicates(docs: DataFrame, tile: int = TILE, count_links: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, tile: int = TILE, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, and n_links if asked for: how many other rows it links with."""
-    found = materialize(members(docs), "near-members")
-    classes = materialize(found.where("survives").groupBy("high", "low", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-classes")
-    blocks = materialize(set_blocks(docs, classes), "near-blocks")
-    clusters = materialize(components(candidate_edges(blocks)), "near-clusters")
-    joined = materialize(components(links(blocks, clusters, tile)), "near-components")
-    others = materialize(link_counts(blocks, clusters, classes, tile), "near-links") if count_links else None
-    drop_tables(blocks)
+    with scratch() as keep:
+        found = keep(materialize(members(docs), "near-members"))
+        classes = materialize(found.where("survives").groupBy("high", "low", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-classes")
+        blocks = materialize(set_blocks(docs, classes), "near-blocks")
+        clusters = materialize(components(candidate_edges(blocks)), "near-clusters")
+        if count_links:
+            tiles = materialize(link_counts(blocks, clusters, classes, tile), "near-links")
+            ties, others = tiles.where("n = 0").select("u", "v"), tiles.where("n > 0").groupBy("high", "low", "n").agg(F.sum("others").alias("others"))
+        else:
+            ties = links(blocks, clusters, classes, tile)
+        # A doc_id of several rows is tied to the representatives of all their sets.
+        shared = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-shared-ids")
+        several = shared.limit(1).count() > 0
+        if several:
+            own = found.join(shared, "doc_id", "left_semi").select("doc_id", "high", "low", "n").distinct().join(classes, ["high", "low", "n"])
+            ties = ties.union(own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+        joined = components(ties)
+        named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("high", "low", "n", "copies", F.coalesce("component", "rep").alias("component"))
+        if count_links:
+            named = named.join(others, ["high", "low", "n"], "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+        # Written first, as above: a class may hold a third of all rows.
+        named = keep(materialize(named.drop("copies"), "near-named"))
+        if several:
+            wide = shared.join(joined, F.col("doc_id") == F.col("node")).select(F.col("doc_id").alias("_id"), F.col("component").alias("whole"))
+            wide = keep(materialize(wide, "near-wide"))
     more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
-    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("high", "low", "n", "copies", F.coalesce("component", "rep").alias("component_id"))
-    if count_links:
-        named = named.join(others, ["high", "low", "n"], "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
-    out = found.join(named, ["high", "low", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
+    out, reached = found.join(named, ["high", "low", "n"], "left"), ["component"]
+    if several:
+        out, reached = out.join(wide, F.col("doc_id") == F.col("_id"), "left"), ["whole", "component"]
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(*reached, "doc_id").alias("component_id"), *more)
 
     def sizes(batches):
         for b in batches:
@@ -508,19 +561,16 @@ def near_duplicates(docs: DataFrame, tile: int = TILE, count_links: bool = False
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, but of each component only those with its smallest doc_id."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (gone,) = unused(docs, "_gone")
+    other = near_duplicates(docs, count_links=False).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(other.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns and n_links, for which every link is verified."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def op1_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:
-    """The same with n_links, for which every link is verified."""
-    return near_duplicates(table(spark, sf_dir, "documents"), count_links=True)
-
-
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i : i + least(len(ws), 5) - 1], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM w WHERE len(ws) > 0)),
@@ -528,7 +578,6 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 l AS (SELECT u, v FROM c JOIN n a ON u = a.doc_id JOIN n b ON v = b.doc_id WHERE 100 * c >= 75 * (a.n + b.n - c)),
 r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
-JOIN (SELECT u, min(v) AS component_id FROM r GROUP BY u) m ON d.doc_id = m.u
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, coalesce(k.n_links, 0) AS n_links FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
+JOIN (SELECT u, min(v) AS component_id FROM r GROUP BY u) m ON d.doc_id = m.u LEFT JOIN (SELECT u, count(*) AS n_links FROM l GROUP BY u) k ON d.doc_id = k.u
 """
-LINKS_SQL = ORACLE_SQL.replace("m.component_id FROM", "m.component_id, coalesce(k.n_links, 0) AS n_links FROM") + "LEFT JOIN (SELECT u, count(*) AS n_links FROM l GROUP BY u) k ON d.doc_id = k.u\n"

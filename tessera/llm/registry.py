@@ -4,7 +4,6 @@ from tessera.llm import decontaminate, fingerprints, line_dedup, ngram_join, pie
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
-    "op1_ngram_jaccard_links": ngram_join.op1_ngram_jaccard_links,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_hypergeometric_sharding": sharding.op4_hypergeometric_sharding,
@@ -17,7 +16,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE_SQL,
-    "op1_ngram_jaccard_links": ngram_join.LINKS_SQL,
     "op5_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op6_warc_dictionary": warc.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
