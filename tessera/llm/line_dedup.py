@@ -1,30 +1,29 @@
 """Removal of lines that many documents repeat, by a sharded minimal perfect hash.
 
 Line keys (stripped of x20 and x09-x0D at both ends, A-Z lower-cased, of min_chars code points at least)
-are hashed to 128 bits. Counts of documents and the largest doc_id are summed up for each distinct hash; the
-hashes that min_docs documents hold are split into shards, and each shard becomes a minimal perfect hash with
+are hashed to 128 bits. Pairs of hash and doc_id are made distinct, then counts of documents and the largest doc_id
+are summed up for each distinct hash; the hashes that min_docs documents hold are split into shards, and each shard becomes a minimal perfect hash with
 arrays of 64-bit fingerprints, counts and last documents. Rarer lines can lose nothing and stay out of the
 index: a fingerprint turns them away. Documents probe the arrays, so lines are never joined. Shards are
 broadcast in waves of a fixed number of bytes; each wave marks lines, the last one writes the texts anew.
 
-Defined cases: a null or empty text is one empty line; each row counts as a document of its own, and all rows
-with the largest doc_id keep the line; a null doc_id counts as smaller than any other; lines are looked at
+Defined cases: a null or empty text is one empty line; rows that share a doc_id count as one document, and all rows
+with the largest doc_id keep the line; rows with a null doc_id are each a document of its own, smaller than any other; lines are looked at
 however long they are; an empty table gives an empty result; other columns are kept, those named n_lines or
 n_dropped replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import code_points, materialize, mix, table
+from tessera.llm.common import code_points, materialize, mix, scratch, table, unused
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of index that are broadcast at once, lines of a shard, bits for each line on a level.
@@ -95,23 +94,21 @@ def count_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """h1, h2, n, last: the hashes that at least min_docs documents hold."""
 
     def count(batches):
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            seen: dict[bytes, list[int]] = {}
+            keys, ids, apart = [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                doc = _NONE if doc is None else doc
-                for key in {k for _, k in line_keys(text, min_chars)}:
-                    if (x := seen.get(key)) is None:
-                        seen[key] = [1, doc]
-                    else:
-                        x[0] += 1
-                        x[1] = max(x[1], doc)
-            h = np.frombuffer(b"".join(seen), np.int64).reshape(-1, 2)
-            v = np.array(list(seen.values()), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"h1": h[:, 0], "h2": h[:, 1], "n": v[:, 0], "last": v[:, 1]})
+                own = {k for _, k in line_keys(text, min_chars)}
+                keys += own
+                ids += [_NONE if doc is None else doc] * len(own)
+                row += 1
+                apart += [row if doc is None else 0] * len(own)  # tells documents without an id from each other
+            h = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"h1": h[:, 0], "h2": h[:, 1], "doc": pa.array(ids, pa.int64()), "apart": pa.array(apart, pa.int64())})
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    counted = cols.mapInArrow(count, "h1 long, h2 long, n long, last long")
-    return counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last")).where(F.col("n") >= min_docs)
+    held = cols.mapInArrow(count, "h1 long, h2 long, doc long, apart long").distinct()
+    return held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
 
 
 def build_index(lines: DataFrame, shards: int) -> DataFrame:
@@ -154,12 +151,13 @@ class Shards:
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, wave_bytes: int = WAVE_BYTES, shard_lines: int = SHARD_LINES) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines (before) and n_dropped."""
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped", "_dropped")
-    lines = materialize(count_lines(docs, min_chars, min_docs), "line-counts")
-    n = lines.count()
-    shards = max(1, -(-n // shard_lines))
-    index = build_index(lines, shards)
-    index = materialize(index, "line-index") if shards > 1 else index
+    docs = docs.drop("n_lines", "n_dropped")
+    id_, gone_ = unused(docs, "_id", "_dropped")
+    with scratch() as keep:
+        lines = materialize(count_lines(docs, min_chars, min_docs), "line-counts")
+        n = lines.count()
+        shards = max(1, -(-n // shard_lines))
+        index = keep(materialize(build_index(lines, shards), "line-index"))
     per_wave = max(1, wave_bytes // (_ENTRY * shard_lines))
     names = docs.columns
     out_schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -169,8 +167,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, wave_by
             found = Shards(held.value, shards)
             for b in batches:
                 texts = b.column("text").to_pylist()
-                ids = [_NONE if d is None else d for d in b.column("_id").to_pylist()]
-                marked = b.column("_dropped").to_pylist()
+                ids = [_NONE if d is None else d for d in b.column(id_).to_pylist()]
+                marked = b.column(gone_).to_pylist()
                 where, keys = [], []
                 for row, text in enumerate(texts):
                     for line, key in line_keys(text, min_chars) if text is not None else ():
@@ -185,7 +183,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, wave_by
                 cols = {c: b.column(c) for c in names}
                 if not last_wave:
                     more = [np.array(sorted({*np.frombuffer(m or b"", np.int64), *gone.get(r, ())}), np.int64).tobytes() for r, m in enumerate(marked)]
-                    yield pa.RecordBatch.from_pydict(cols | {"_id": b.column("_id"), "_dropped": pa.array(more, pa.binary())})
+                    yield pa.RecordBatch.from_pydict(cols | {id_: b.column(id_), gone_: pa.array(more, pa.binary())})
                     continue
                 total, lost = [], []
                 for row, text in enumerate(texts):
@@ -199,7 +197,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, wave_by
 
         return run
 
-    out = docs.withColumn("text", F.col("text").cast("binary")).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_dropped", F.lit(None).cast("binary"))
+    out = docs.withColumn("text", F.col("text").cast("binary")).withColumn(id_, F.col("doc_id").cast("long")).withColumn(gone_, F.lit(None).cast("binary"))
     waves = range(0, shards, per_wave)
     for first in waves:
         rows = [r.asDict() for r in index.where(F.col("shard").between(first, first + per_wave - 1)).collect()]  # at most wave_bytes
