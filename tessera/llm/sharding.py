@@ -3,10 +3,11 @@
 Rows are dealt to virtual partitions by a hash, the numbers that each partition sends to each shard are
 drawn from the multivariate hypergeometric law (what a uniform permutation would give), each partition is
 permuted locally to decide which rows go where, rows are exchanged, and each shard is permuted again.
-All orders are total orders of seeded row hashes, so a task that is run again makes the same choice.
+All orders are total orders of seeded row hashes, so a task that is run again makes the same choice; rows that
+repeat are hashed with their place in a written copy of the input.
 
 Defined cases: null texts and null ids are ordinary rows; rows that repeat exactly are interchangeable;
-an empty table gives an empty result; columns of the input named like an output column are replaced.
+an empty table gives an empty result; columns of the input named shard or slot are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -63,37 +64,39 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.n
 
 def shuffle_into_shards(df: DataFrame, n_shards: int = 40, seed: int = 17) -> DataFrame:
     """df's rows with shard (0 to n_shards - 1, sizes at most one apart) and slot (0, 1, ... in each shard)."""
-    df = df.drop("shard", "slot", "_part", "_local", "_again")
+    df = df.drop("shard", "slot")
     row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    hashed = df.withColumn("_local", F.xxhash64(row, F.lit(seed))).withColumn("_again", F.xxhash64(row, F.lit(seed + 1)))
-    held = materialize(hashed, "sharding-rows")
-    rows = held.count()
+    # The caller's columns travel as one, so that no name of theirs meets one of these. Rows that repeat, and they alone, are
+    # told apart by their place in a first table, which is written and so keeps it: many equal rows are no large group.
+    first = materialize(df.select(row.alias("own"), F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("place")), "sharding-input")
+    twice = materialize(first.groupBy("own").count().where("count > 1").select(F.col("own").alias("twice")), "sharding-repeated")
+    tag = F.when(F.col("twice").isNotNull(), F.col("place")).otherwise(-1)
+    held = first.join(twice, F.col("own") == F.col("twice"), "left")
+    held = held.select("row", F.xxhash64("own", tag, F.lit(seed)).alias("local"), F.xxhash64("own", tag, F.lit(seed + 1)).alias("again"))
+    rows = first.count()
     parts = min(MAX_PARTS, max(64, 1 << math.ceil(math.log2(max(rows, 1) / PART_ROWS + 1))))
-    held = held.withColumn("_part", F.pmod(F.xxhash64("_local"), F.lit(parts)).cast("int"))
+    held = held.withColumn("part", F.pmod(F.xxhash64("local"), F.lit(parts)).cast("int"))
     counts = [0] * parts
-    for p, n in held.groupBy("_part").count().collect():  # one row for each of at most MAX_PARTS
+    for p, n in held.groupBy("part").count().collect():  # one row for each of at most MAX_PARTS
         counts[p] = n
     sizes = [rows // n_shards + (s < rows % n_shards) for s in range(n_shards)]
     ends = np.cumsum(communication_matrix(counts, sizes, seed), axis=1)
-    schema = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_ends", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("ends", T.ArrayType(T.LongType()))])
     matrix = df.sparkSession.createDataFrame([(p, [int(x) for x in e]) for p, e in enumerate(ends)], schema)
-    local = F.row_number().over(Window.partitionBy("_part").orderBy("_local", "_again")) - 1
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("local", "again")) - 1
     dealt = (
-        held.withColumn("_rank", local)
-        .join(F.broadcast(matrix), "_part")  # at most MAX_PARTS rows of n_shards numbers
-        .withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
+        held.withColumn("rank", rank)
+        .join(F.broadcast(matrix), "part")  # at most MAX_PARTS rows of n_shards numbers
+        .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
     )
     pieces = max(1, math.ceil(rows / n_shards / PART_ROWS * 4))
-    dealt = materialize(dealt.drop("_part", "_ends", "_rank").withColumn("_piece", F.pmod("_again", F.lit(pieces)).cast("int")), "sharding-dealt")
-    before = dealt.groupBy("shard", "_piece").count()
-    before = before.select("shard", "_piece", (F.sum("count").over(Window.partitionBy("shard").orderBy("_piece")) - F.col("count")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy("_again", "_local")) - 1
-    return (
-        dealt.withColumn("_within", within)
-        .join(before, ["shard", "_piece"])
-        .withColumn("slot", (F.col("_before") + F.col("_within")).cast("long"))
-        .select(*[f"`{c}`" for c in df.columns], "shard", "slot")
-    )
+    dealt = dealt.select("row", "local", "again", "shard", F.pmod("again", F.lit(pieces)).cast("int").alias("piece"))
+    dealt = materialize(dealt, "sharding-dealt")
+    before = dealt.groupBy("shard", "piece").count()
+    before = before.select("shard", "piece", (F.sum("count").over(Window.partitionBy("shard").orderBy("piece")) - F.col("count")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("again", "local")) - 1
+    placed = dealt.withColumn("within", within).join(before, ["shard", "piece"])
+    return placed.select("row.*", "shard", (F.col("before") + F.col("within")).cast("long").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = 40, seed: int = 17) -> None:
