@@ -3,8 +3,8 @@
 First pass: each partition sketches its windows. A window's cells are chosen by its minimiser (the least hash
 of its runs of GRAM words), so equal windows share cells and a document counts once for each minimiser; the
 merged sketches therefore overestimate in how many documents a window starts. Cells that two or more
-documents reach are kept as bit maps of a fixed size, which is all that is broadcast; a fuller sketch lets
-more windows through and never loses one. Second pass: the windows whose cells are all repeated, and no
+documents reach are kept as bit maps, which is all that is broadcast. The sketch's width follows the bytes of the input up to
+MOST_CELLS; a fuller sketch lets more windows through and never loses one. Second pass: the windows whose cells are all repeated, and no
 others, are grouped exactly by 96-bit hashes (plus the bits that choose the shard): each shard finds the
 smallest doc_id of every window and returns the starts in larger documents. Within a block of documents only
 the smallest holder of a window is sent, so a window that very many documents share costs one entry for a block.
@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import hashed_words, materialize, mix, powers, shingles, table
+from tessera.llm.common import hashed_words, materialize, mix, powers, scratch, shingles, table, unused
 
 WINDOW, GRAM = 50, 8
-#: Cells in each of the sketch's DEPTH rows (bits once merged) and shards of the bit maps.
-CELLS, DEPTH, MAPS = 1 << 26, 2, 8
+#: Rows of the sketch, least and most cells in each (bits once merged), bits of a shard of the bit maps, and bytes of text
+#: for each cell: about one distinct minimiser comes on 130 bytes, so a sketch within bounds is an eighth full.
+DEPTH, LEAST_CELLS, MOST_CELLS, MAP, CELL_BYTES = 2, 1 << 20, 1 << 29, 1 << 23, 16
 #: Windows of a block, and documents of one.
 BLOCK_WINDOWS, BLOCK_DOCS = 1_000_000, 30_000
 _U = np.uint64
@@ -69,7 +70,13 @@ def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("print")).where("doc_id IS NOT NULL")
 
 
-def repeated_cells(docs: DataFrame, window: int = WINDOW, width: int = CELLS) -> list[np.ndarray]:
+def sketch_width(docs: DataFrame) -> int:
+    """Cells for docs: a power of two between the bounds."""
+    held = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << math.ceil(math.log2(held / CELL_BYTES + 1))))
+
+
+def repeated_cells(docs: DataFrame, window: int, width: int) -> list[np.ndarray]:
     """For each row of the sketch, the bit map of cells that two documents or more reach: width / 8 bytes each."""
 
     def sketch(batches):
@@ -86,7 +93,7 @@ def repeated_cells(docs: DataFrame, window: int = WINDOW, width: int = CELLS) ->
                     yield pa.RecordBatch.from_pydict({"cell": cell.astype(np.int64) + d * width, "n": n})
 
     merged = _input(docs).select("text").mapInArrow(sketch, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
-    part = width // MAPS
+    part = min(MAP, width)
 
     def pack(key, t):
         bits = np.zeros(part, bool)
@@ -94,7 +101,7 @@ def repeated_cells(docs: DataFrame, window: int = WINDOW, width: int = CELLS) ->
         return pa.table({"map": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     maps = merged.select(F.expr(f"cast(cell div {part} as int)").alias("map"), "cell").groupBy("map").applyInArrow(pack, "map int, bits binary")
-    out = np.zeros((DEPTH * MAPS, part // 8), np.uint8)
+    out = np.zeros((DEPTH * width // part, part // 8), np.uint8)
     for i, bits in maps.collect():  # DEPTH * width / 8 bytes at most
         out[i] = np.frombuffer(bits, np.uint8)
     return list(out.reshape(DEPTH, -1))
@@ -125,9 +132,10 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _COLUMNS)
 
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW, width: int = CELLS) -> DataFrame:
+def repeated_starts(docs: DataFrame, window: int = WINDOW, width: int | None = None) -> DataFrame:
     """doc_id, print (hash of the text), runs: the window starts of each document that a smaller doc_id has too."""
     spark = docs.sparkSession
+    width = width or sketch_width(docs)
     maps = spark.sparkContext.broadcast(repeated_cells(docs, window, width))
     source = _input(docs)
     bits = max(4, math.ceil(math.log2(max(1, source.rdd.getNumPartitions()))) + 2)
@@ -210,20 +218,21 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, width: int = CELLS) -
     return sent.groupBy("shard").applyInArrow(least, _ROWS).groupBy("block").applyInArrow(gather, "doc_id long, print long, runs binary")
 
 
-def dedup_windows(docs: DataFrame, window: int = WINDOW, width: int = CELLS) -> DataFrame:
+def dedup_windows(docs: DataFrame, window: int = WINDOW, width: int | None = None) -> DataFrame:
     """docs, all columns, with text cut to its kept words joined by single spaces, and n_words (before) and n_removed."""
-    docs = docs.drop("n_words", "n_removed", "_doc", "_print", "_runs")
-    names = docs.columns
-    gone = materialize(repeated_starts(docs, window, width), "repeated-windows").toDF("_doc", "_print", "_runs")
+    docs = docs.drop("n_words", "n_removed")
+    names, (doc, print_, runs_) = docs.columns, unused(docs, "_doc", "_print", "_runs")
+    with scratch() as keep:
+        gone = keep(materialize(repeated_starts(docs, window, width), "repeated-windows")).toDF(doc, print_, runs_)
     # A repeated row may have brought the same runs twice.
-    gone = gone.groupBy("_doc", "_print").agg(F.max("_runs").alias("_runs"))
-    same = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_print"))
-    joined = docs.join(gone.hint("shuffle_hash"), same, "left").select(*[F.col("text").cast("binary").alias("text") if c == "text" else f"`{c}`" for c in names], "_runs")
+    gone = gone.groupBy(doc, print_).agg(F.max(runs_).alias(runs_))
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(print_))
+    joined = docs.join(gone.hint("shuffle_hash"), same, "left").select(*[F.col("text").cast("binary").alias("text") if c == "text" else f"`{c}`" for c in names], runs_)
 
     def cut(batches):
         for b in batches:
             texts, words, removed = b.column("text").to_pylist(), [], []
-            for i, runs in enumerate(b.column("_runs").to_pylist()):
+            for i, runs in enumerate(b.column(runs_).to_pylist()):
                 w = (texts[i] or b"").split()
                 words.append(len(w))
                 if runs:
