@@ -13,17 +13,20 @@ alike; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import dataclasses
+import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PIECE, binaries, hashed_words, materialize, mix, table
+from tessera.llm.common import PIECE, binaries, drop_tables, hashed_words, materialize, mix, table
 
 COSINES, RIDGE, WIDTH, SEED, THRESHOLD = 512, 1e-3, 0.6, 7, 0.3
-#: Bins of ridge scores that the isotonic curve is fitted on; partitions that sum up normal equations.
-BINS, SUMMERS, BLOCKS = 4096, 48, 16
+#: Bins of ridge scores that the isotonic curve is fitted on, and blocks that the normal equations are summed in; partitions
+#: that sum them up, at least, and labelled rows of one; partial sums that one task adds.
+BINS, BLOCKS, SUMMERS, SUMMED, ADDED = 4096, 16, 48, 50_000, 64
 
 _CLASSES = ["upper", "lower", "digit", "space", "newline", "stop", "comma", "bang", "pipe", "hash", "dollar", "percent", "amp", "star", "quote", "other", "high"]
 _CLASS = np.full(256, _CLASSES.index("other"), np.int64)
@@ -123,7 +126,8 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("double").alias("y"))
     rows = stats.join(known, "doc_id").withColumn("fold", fold).where("fold <> 0")
-    rows = materialize(rows.select("statistics", "y", "fold").repartition(SUMMERS), "quality-rows")
+    summers = max(SUMMERS, math.ceil(known.count() / SUMMED))
+    rows = materialize(rows.select("statistics", "y", "fold").repartition(summers), "quality-rows")
 
     def moments(batches):
         for b in batches:
@@ -147,15 +151,21 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
             for i in range(0, len(x), 2048):
                 z = model.cosines(x[i : i + 2048])
                 total += z.T @ np.hstack([z, y[i : i + 2048, None]])
+        at = TaskContext.get().partitionId()
         for block, part in enumerate(np.array_split(total, BLOCKS)):
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "at": pa.array([at], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
 
     def add(key, t):
         total = sum(np.frombuffer(p, float) for p in t["part"].to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
     def solve(of: DataFrame) -> np.ndarray:
-        parts = of.mapInArrow(equations, "block int, part binary").groupBy("block").applyInArrow(add, "block int, part binary").collect()
+        kind = "block int, at int, part binary"
+        sums, left = of.mapInArrow(equations, kind), of.rdd.getNumPartitions()
+        while left:  # level by level, so that no task adds more than ADDED partial sums
+            left //= ADDED
+            sums = sums.withColumn("at", F.expr(f"cast(at div {ADDED} as int)")).groupBy("block", "at").applyInArrow(add, kind)
+        parts = sums.select("block", "part").collect()  # BLOCKS rows, the equations
         total = np.concatenate([np.frombuffer(p, float) for _, p in sorted(parts)]).reshape(d, d + 1)
         rows_seen = total[-1, -2]
         penalty = np.eye(d) * RIDGE * max(rows_seen, 1)
@@ -176,6 +186,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
     for i, a, b in held.mapInArrow(binned, "bin long, s double, n double").where("n > 0").groupBy("bin").agg(F.sum("s"), F.sum("n")).collect():
         s[i], m[i] = a, b
     model.knots = isotonic(s, m, (np.arange(BINS) + 0.5) * 2 / BINS - 0.5)
+    drop_tables(rows)
     return model
 
 
