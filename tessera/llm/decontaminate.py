@@ -9,7 +9,7 @@ Words are the runs of characters other than x20 and x09-x0D of the lower-cased t
 consecutive words, or all the words of an item that has fewer.
 
 Defined cases: null and empty texts hold nothing and are found nowhere; rows that share a doc_id (or have
-none) count as one document, its best row; items that repeat are each found; empty tables give empty results; other columns are ignored.
+none) count as one document, its best row; items that repeat are each found; empty tables give empty results; other columns are ignored by find_items and kept by decontaminate.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, scratch, table, unused
 
 WIDTH = 5
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -92,9 +92,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
-    hit = materialize(find_items(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "benchmark-hits")
+    (own,) = unused(docs, "_hit")
+    with scratch() as keep:
+        hit = keep(materialize(find_items(docs, benchmark).select(F.col("doc_id").alias(own)).distinct(), "benchmark-hits"))
     few = hit.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(hit) if few else hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(F.broadcast(hit) if few else hit, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_anti")
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

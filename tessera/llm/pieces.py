@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import mix, table
+from tessera.llm.common import mix, table, unused
 
 #: Characters of a cut up to which cuts are encoded as matrices; rows of a matrix; distinct cuts that are remembered.
 LONG, ROWS, REMEMBERED = 32, 1 << 16, 200_000
@@ -291,19 +291,19 @@ def _model(spark, path: str | None):
 def encode(docs: DataFrame, path: str | None = None, viterbi: bool | None = None) -> DataFrame:
     """docs, all columns, with pieces: array<int> of its text (a column of that name is replaced)."""
     docs = docs.drop("pieces")
-    names, held = docs.columns, _model(docs.sparkSession, path)
+    (raw,), names, held = unused(docs, "_text"), docs.columns, _model(docs.sparkSession, path)
 
     def run(batches):
         p = _loaded(held.value, viterbi)
         for b in batches:
-            for first, texts in _slices(b.column("_text")):
+            for first, texts in _slices(b.column(raw)):
                 ids = p.encode(texts)
                 at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(first, len(texts)) for c in names), listed], [*names, "pieces"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))])
-    return docs.withColumn("_text", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:

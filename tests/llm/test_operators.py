@@ -93,6 +93,39 @@ def test_join_on_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.doc_id is None or r.doc_id == r.component_id}
 
 
+def test_rows_of_one_document_reach_together(spark):
+    """Rows that share a doc_id are one document: it reaches what any of them links with."""
+    rng = random.Random(11)
+    bases = [[f"b{k}_{i}" for i in range(60)] for k in range(6)]
+    vary = lambda w: " ".join([*w[:30], f"x{rng.random()}", *w[31:]] if rng.random() < 0.5 else w)
+    rows = [(rng.randrange(14), vary(rng.choice(bases)) if rng.random() < 0.9 else "") for _ in range(24)] + [(0, "a a a a a a"), (1, "a a a a a a"), (1, "b b b b b b"), (2, "b b b b b b")]
+    up = {d: d for d, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (a, x), (b, y) in combinations([(d, shingle_set(t)) for d, t in rows], 2):
+        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((d, len(shingle_set(t)), find(d)) for d, t in rows)
+    for tile, counted in ((2, True), (512, True), (2, False), (512, False)):
+        assert sorted(r[:3] for r in ngram_join.near_duplicates(docs, tile, counted).collect()) == want
+    assert sorted({r.doc_id for r in ngram_join.keep_one(docs).collect()}) == sorted({find(d) for d, _ in rows})
+
+
+def test_tiles_intersect_exactly():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
+    t = ngram_join.Tile(sets)
+    for i in range(40):
+        js = rng.permutation(40)[: rng.integers(0, 40)]
+        assert t.overlaps(i, js).tolist() == [len(np.intersect1d(sets[i], sets[j])) for j in js]
+
+
 def test_bitmap_bound_never_falls_below_the_overlap():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
@@ -134,6 +167,39 @@ def test_classifier_on_odd_rows(spark, odd, none):
     assert quality.score(quality.with_statistics(none), model).count() == 0
 
 
+def test_model_equals_plain_numpy(spark):
+    """Standardisation, normal equations, ridge and isotonic curve, computed in one piece from all labelled rows."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(sf + "/documents.parquet"), spark.read.parquet(sf + "/labels.parquet")
+    stats = quality.with_statistics(docs)
+    model = quality.fit(stats, labels)
+    x = {r.doc_id: np.frombuffer(r.statistics, np.float32).astype(float) for r in stats.collect()}
+    fold = lambda d: zlib.crc32(str(d).encode()) % 5
+    known = [(x[r.doc_id], float(r.quality > 0), fold(r.doc_id)) for r in labels.collect() if r.doc_id in x and fold(r.doc_id)]
+    a, y, folds = (np.array(c) for c in zip(*known, strict=True))
+    mean, scale = a.mean(0), np.sqrt(np.maximum(a.var(0), 1e-8))
+    np.testing.assert_allclose(model.mean, mean, atol=1e-6)
+    np.testing.assert_allclose(model.scale, scale, atol=1e-6)
+    z = model.cosines(a)
+    learned = folds != 1
+    penalty = np.eye(z.shape[1]) * quality.RIDGE * learned.sum()
+    penalty[-1, -1] = 1e-9
+    weights = np.linalg.solve(z[learned].T @ z[learned] + penalty, z[learned].T @ y[learned])
+    np.testing.assert_allclose(z @ model.weights, z @ weights, atol=1e-5)
+
+    # The isotonic curve: of all non-decreasing fits the closest, so block means by max-min over bins.
+    at = np.clip(((z @ model.weights)[~learned] + 0.5) * quality.BINS / 2, 0, quality.BINS - 1).astype(int)
+    bins = np.unique(at)
+    s, n = (np.array([(w * (at == b)).sum() for b in bins]) for w in (y[~learned], np.ones((~learned).sum())))
+    fit = [max(min(s[i : k + 1].sum() / n[i : k + 1].sum() for k in range(j, len(bins))) for i in range(j + 1)) for j in range(len(bins))]
+    cuts = np.flatnonzero(np.diff(np.round(fit, 9))) + 1
+    blocks = [(s[p].sum(), n[p].sum()) for p in np.split(np.arange(len(bins)), cuts)]
+    values = [(a + 0.5) / (b + 1) for a, b in blocks]
+    np.testing.assert_allclose(model.knots[1], np.maximum.accumulate(values), atol=1e-9)
+    scored = {r.doc_id: r.score for r in quality.score(stats, model).collect()}
+    assert all(scored[d] == pytest.approx(float(np.interp(model.cosines(v[None])[0] @ model.weights, *model.knots)), abs=1e-6) for d, v in x.items())
+
+
 def test_isotonic_is_monotone():
     x, y = quality.isotonic(np.array([0, 3, 1, 2, 9.0]), np.array([5, 4, 4, 0, 9.0]), np.arange(5.0))
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all() and 0 < y[0] and y[-1] < 1
@@ -154,6 +220,46 @@ def test_encoding_equals_the_library(spark):
     assert [p.decode(x).decode() for x in ids] == [t.replace("▁", " ") for t in texts]
 
 
+def test_query_equals_the_library(spark):
+    import sentencepiece
+
+    sf = "/root/testdata/sf0.001"
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(sf + "/documents.parquet").collect()}
+    got = pieces.op3_sentencepiece(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = np.array(lib.encode(texts[r.doc_id]), "<i4")
+        assert r.n_pieces == len(ids) and r.pieces_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
+        assert r.round_trip and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_viterbi_on_the_whole_table(spark):
+    """Forced Viterbi over the given model: decodes to the text, and no cut has a path of a better score."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(sf + "/documents.parquet")
+    assert all(r.round_trip for r in pieces.digests(docs, viterbi=True).collect())
+    with open(pieces.model_path(), "rb") as f:
+        p = pieces.Pieces.load(f.read(), viterbi=True)
+    worst = float(p.scores.min()) - 10
+    for r in docs.limit(40).collect():
+        for cut in {c for c in re.findall(r" +[^ \n]*|[^ \n]+", " " + (r.text or "")) if len(c) < 30}:
+            s = cut.replace(" ", pieces.SPACE)
+            best = [0.0] + [-np.inf] * len(s)
+            for z in range(1, len(s) + 1):
+                for a in range(max(0, z - p.longest), z):
+                    known = p.by_text.get(s[a:z])
+                    best[z] = max(best[z], best[a] + (known[0] if known else worst if z - a == 1 else -np.inf))
+            ids, total, held = p.encode_cuts([cut.encode()])[0], 0.0, 0
+            for i in ids:
+                if p.pieces[i][2] == 1:
+                    total += p.pieces[i][1]
+                else:  # bytes of one unknown character
+                    held += 1
+            unknown = sum(c not in p.by_text for c in s) if held else 0
+            assert total + unknown * worst == pytest.approx(best[-1], abs=1e-3)
+
+
 def test_viterbi_equals_brute_force():
     vocabulary = [("<unk>", 0.0, 2), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]]
     words = {"a": -3.0, "b": -2.5, "c": -4.0, "ab": -3.5, "bc": -3.0, "abc": -7.0, "▁": -1.0, "▁a": -2.0, "cc": -6.5}
@@ -205,6 +311,29 @@ def test_shards_are_exact_and_repeatable(spark, odd, none):
     assert sharding.shuffle_into_shards(odd, 3).count() == odd.count() and sharding.shuffle_into_shards(none, 3).count() == 0
 
 
+def test_sharding_query_by_hand(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = Counter((r.doc_id, r.text or "") for r in spark.read.parquet(sf + "/documents.parquet").collect())
+    got = sharding.op4_hypergeometric_sharding(spark, sf).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter({(d, len(t.encode()) + 16, zlib.crc32(t.encode())): n for (d, t), n in texts.items()})
+    slots = defaultdict(list)
+    for r in got:
+        assert r.law == "rows" and r.grown_shard is None
+        slots[r.shard].append(r.slot)
+    assert sorted(slots) == list(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_repeated_rows_are_spread_over_partitions(spark, odd):
+    docs = spark.range(20_000).select(F.when(F.col("id") < 19_000, -1).otherwise(F.col("id")).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = sharding.shuffle_into_shards(docs, 7).collect()
+    per = Counter(r.shard for r in got if r.doc_id == -1)
+    assert len(got) == 20_000 and Counter(r.doc_id for r in got)[-1] == 19_000 and max(Counter(r.shard for r in got).values()) == 2858 and min(per.values()) > 2650
+    assert len({(r.shard, r.slot) for r in got}) == 20_000
+    columns = lambda df: sorted(repr(tuple(r[c] for c in df.columns if c != "shard")) for r in df.collect())
+    assert columns(odd) == sorted(repr(tuple(r[c] for c in odd.columns if c != "shard")) for r in sharding.shuffle_into_shards(odd, 3).collect())
+
+
 def test_shards_are_uniform(spark):
     docs = spark.range(60).select(F.col("id").alias("doc_id")).cache()
     hits = Counter(r.shard for seed in range(12) for r in sharding.shuffle_into_shards(docs, 3, seed).where("doc_id < 10").collect())
@@ -311,6 +440,16 @@ def test_lines_equal_brute_force(spark):
     assert {r.doc_id: r.text for r in got.collect()} == want and want != dict(rows)
 
 
+def test_lines_count_documents_and_not_rows(spark):
+    line = "A line that is long enough to be counted, indeed."
+    four = spark.createDataFrame([(1, line)] * 4 + [(2, line)], "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup.dedup_lines(four).collect()} == {0}
+    five = spark.createDataFrame([(1, line)] * 4 + [(i, line) for i in (2, 3, 4, 5)], "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(five).collect()) == sorted([(1, 1)] * 4 + [(2, 1), (3, 1), (4, 1), (5, 0)])
+    nameless = spark.createDataFrame([(None, line)] * 4 + [(2, line)], "doc_id long, text string").repartition(2)
+    assert sorted(r.n_dropped for r in line_dedup.dedup_lines(nameless).collect()) == [0, 1, 1, 1, 1]
+
+
 # 8
 
 @pytest.mark.parametrize("cells", [64, 1 << 16])
@@ -621,3 +760,53 @@ def test_next_documents_over_many_buckets(spark):
     order = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").orderBy(F.desc(F.xxhash64("t"))).collect()]
     ring = ["first", *order, "third", "last", "first"]
     assert {r.text: r.next_text for r in fingerprints.with_next(docs.repartition(3), 50).collect()} == dict(zip(ring, ring[1:], strict=False))
+
+
+# all
+
+CLASHES = ["_piece", "_rank", "_ends", "_part", "_local", "_again", "_hit", "_gone", "_id", "_dropped", "_text", "_doc", "_print", "_runs", "row", "own", "place", "local", "again", "part", "piece", "rank", "before", "within", "twice", "ends", "rep", "n", "high", "low", "node", "component", "statistics", "score", "_row", "found", "base", "added", "_at", "_bucket", "_key", "_page", "first", "pieces_", "item_id", "_item", "runs", "n_words_", "u", "v", "_gone_", "_hit_"]
+
+
+@pytest.mark.parametrize("name", ["shuffle_into_shards", "keep_one", "decontaminate", "dedup_lines", "dedup_windows", "encode", "decode", "keep_good"])
+def test_columns_of_any_name_stay(spark, odd, name):
+    """Operators that keep the caller's columns keep them whatever they are called; those that ignore them aren't disturbed."""
+    plain = odd.select("doc_id", "text", "lang").withColumn("tag", F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string"))
+    wide = plain.select("*", *[F.concat(F.lit(c), "tag").alias(c) for c in CLASHES])
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    model = quality.fit(quality.with_statistics(plain), spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int"))
+    run = {
+        "shuffle_into_shards": lambda d: sharding.shuffle_into_shards(d, 3).drop("slot", "shard"), "keep_one": ngram_join.keep_one, "decontaminate": lambda d: decontaminate.decontaminate(d, items),
+        "dedup_lines": line_dedup.dedup_lines, "dedup_windows": substring_dedup.dedup_windows, "encode": lambda d: pieces.encode(d).drop("pieces"),
+        "decode": lambda d: pieces.decode(pieces.encode(d)).drop("pieces"), "keep_good": lambda d: quality.keep_good(d, model),
+    }[name]
+    got, want = run(wide), run(plain)
+    assert set(CLASHES) < set(got.columns) and len(got.columns) == len(set(got.columns))
+    rows = got.collect()
+    assert all(r[c] == c + r.tag for r in rows for c in CLASHES)
+    assert sorted(repr(tuple(r[c] for c in want.columns)) for r in rows) == sorted(repr(tuple(r)) for r in want.collect())
+
+
+def test_columns_of_any_name_are_ignored(spark, odd):
+    plain = odd.select("doc_id", "text").where("doc_id IS NOT NULL")
+    wide = plain.select("*", *[F.lit(c).alias(c) for c in CLASHES])
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    for run in (ngram_join.near_duplicates, pii.find_pii, quality.with_statistics, pieces.digests, fingerprints.with_next, lambda d: decontaminate.find_items(d, items)):
+        assert sorted(map(repr, run(wide).collect())) == sorted(map(repr, run(plain).collect()))
+
+
+def test_results_replace_columns_of_their_names(spark):
+    text = "some words " * 30
+    docs = spark.createDataFrame([(1, text, "a", "b", "c", "d", "e", "f", "g")], "doc_id long, text string, n_words string, n_removed string, n_lines string, n_dropped string, pieces string, decoded string, slot string")
+    assert substring_dedup.dedup_windows(docs).first()[-2:] == (60, 0) and line_dedup.dedup_lines(docs).first()[-2:] == (1, 0)
+    coded = pieces.encode(docs)
+    assert len(coded.first().pieces) > 30 and pieces.decode(coded).first().decoded == text and sharding.shuffle_into_shards(docs, 1).first().slot == 0
+
+
+def test_tables_in_between_are_deleted(spark, odd, tmp_path):
+    import os
+
+    at = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    ngram_join.near_duplicates(odd).count()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - before}
+    assert left <= {"near-members", "near-named", "near-wide"}
