@@ -30,13 +30,24 @@ def plan_windows(contigs: DataFrame, size: int) -> DataFrame:
 
 
 def sites(tiles: DataFrame) -> DataFrame:
-    """contig, pos0, ref_base, tri of every C and G. tiles: contig, tile_start, seq; neighbouring tiles lend two bases each."""
-    w = Window.partitionBy("contig").orderBy("tile_start")
-    t = tiles.withColumn("seq", F.upper(F.regexp_replace("seq", "[\r\n]", "")))
-    left = F.when(F.lag("tile_start").over(w) + F.length(F.lag("seq").over(w)) == F.col("tile_start"), F.substring(F.lag("seq").over(w), -2, 2))
-    right = F.when(F.lead("tile_start").over(w) == F.col("tile_start") + F.length("seq"), F.substring(F.lead("seq").over(w), 1, 2))
-    t = t.select("contig", "tile_start", "seq", F.concat(F.lpad(F.coalesce(left, F.lit("")), 2, "N"), "seq", F.rpad(F.coalesce(right, F.lit("")), 2, "N")).alias("halo"))
-    each = t.where(F.length("seq") > 0).select("contig", "tile_start", "halo", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("i"))
+    """contig, pos0, ref_base, tri of every C and G. tiles: contig, tile_start, seq; neighbouring tiles lend two bases each.
+
+    A tile's own ends carry its outer bases to the tiles that touch it, keyed by (contig, position), so that a contig is
+    as many groups as it has tiles and no window orders it."""
+    t = tiles.select("contig", F.col("tile_start").cast("long").alias("tile_start"), F.upper(F.regexp_replace("seq", "[\r\n]", "")).alias("seq")).where(F.length("seq") > 0)
+    stop = F.col("tile_start") + F.length("seq")
+    # Three short rows beside a tile's own: what it lends to a tile that begins where it ends, and to one that ends where it begins.
+    lends = F.array(
+        F.struct(stop.alias("at"), F.lit(True).alias("left"), F.substring("seq", -2, 2).alias("bases")),
+        F.struct(F.col("tile_start").alias("at"), F.lit(False).alias("left"), F.substring("seq", 1, 2).alias("bases")),
+    )
+    lent = t.select("contig", F.inline(lends))
+    before = lent.where("left").select(F.col("contig").alias("_c1"), F.col("at").alias("_start"), F.col("bases").alias("_before"))
+    after = lent.where("NOT left").select(F.col("contig").alias("_c2"), F.col("at").alias("_stop"), F.col("bases").alias("_after"))
+    t = t.join(before, (F.col("contig") == F.col("_c1")) & (F.col("tile_start") == F.col("_start")), "left")
+    t = t.join(after, (F.col("contig") == F.col("_c2")) & (stop == F.col("_stop")), "left")
+    halo = F.concat(F.lpad(F.coalesce("_before", F.lit("")), 2, "N"), "seq", F.rpad(F.coalesce("_after", F.lit("")), 2, "N"))
+    each = t.select("contig", "tile_start", halo.alias("halo"), F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("i"))
     base = [F.substr("halo", F.col("i") + k, F.lit(1)) for k in (3, 1, 2, 4, 5)]
     found = each.select("contig", (F.col("tile_start") + F.col("i")).cast("long").alias("pos0"), base[0].alias("ref_base"), scalars.trinucleotide(*base).alias("tri"))
     return found.where(F.col("ref_base").isin("C", "G"))
