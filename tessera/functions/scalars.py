@@ -61,12 +61,19 @@ def percent(c: Column, t: Column) -> Column:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """strand_of, call_of, context_of, barcode_of and percent_of as temporary SQL functions."""
+    """strand_of, call_of, trinucleotide_of, context_of, barcode_of, shard_of and percent_of as temporary SQL functions."""
+    at = lambda k: f"substr(concat('NN', upper(seq), 'NN'), pos + {3 + k}, 1)"
+    tri = f"CASE {at(0)} WHEN 'C' THEN CASE WHEN {at(1)} = 'G' THEN 'CpG' WHEN {at(2)} = 'G' AND {at(1)} IN ('A', 'C', 'T') THEN 'CHG' ELSE 'CHH' END WHEN 'G' THEN CASE WHEN {at(-1)} = 'C' THEN 'CpG' WHEN {at(-2)} = 'C' AND {at(-1)} IN ('A', 'G', 'T') THEN 'CHG' ELSE 'CHH' END END"
+    digits = "0L"
+    for k in range(4):  # 32 bits at a time, as in shard()
+        digits = f"pmod({digits} * 4294967296L + cast(conv(substr(md5(cast(barcode AS BINARY)), {1 + 8 * k}, 8), 16, 10) AS BIGINT), n)"
     for text in (
         "strand_of(flag INT) RETURNS STRING RETURN CASE WHEN flag IN (99, 147) THEN 'OT' WHEN flag IN (83, 163) THEN 'OB' END",
         "call_of(s STRING, ref STRING, base STRING) RETURNS INT RETURN CASE WHEN s = 'OT' AND upper(ref) = 'C' THEN CASE upper(base) WHEN 'T' THEN 1 WHEN 'C' THEN 0 END WHEN s = 'OB' AND upper(ref) = 'G' THEN CASE upper(base) WHEN 'A' THEN 1 WHEN 'G' THEN 0 END END",
         "context_of(tri STRING) RETURNS STRING RETURN CASE WHEN tri = 'CpG' THEN 'CG' WHEN tri IN ('CHG', 'CHH') THEN 'CH' END",
         "barcode_of(q STRING) RETURNS STRING RETURN CASE WHEN instr(q, ':') > 0 THEN substring_index(q, ':', 1) WHEN instr(q, '/') > 0 THEN substring_index(q, '/', 1) ELSE q END",
+        f"trinucleotide_of(seq STRING, pos INT) RETURNS STRING RETURN CASE WHEN pos BETWEEN 0 AND length(seq) - 1 THEN {tri} END",
+        f"shard_of(barcode STRING, n INT) RETURNS INT RETURN CASE WHEN n <= 1 THEN 0 ELSE cast({digits} AS INT) END",
         "percent_of(c BIGINT, t BIGINT) RETURNS DOUBLE RETURN CASE WHEN c + t > 0 THEN 100.0D * c / (c + t) ELSE 0.0D END",
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import materialize
+
 #: Chances of opening and extending a gap, least band on either side, highest quality, Phred offset: fixed values.
 OPEN, EXTEND, BAND, HIGHEST, OFFSET = 0.001, 0.1, 7, 99, 33
 #: Cells (bases times band) of a matrix and of the largest read; sizes of reference stretches.
@@ -158,7 +160,9 @@ def realign(reads: DataFrame, tiles: DataFrame, sizes: tuple[int, ...] = SIZES)
     placed = placed.withColumn("_to", F.col("_from") + F.length("seq") + 2 * F.col("_band"))
     size = F.coalesce(*[F.when(F.col("_to") - F.col("_from") <= s, s) for s in sizes])
     placed = placed.withColumn("_size", size).withColumn("_bin", F.floor(F.greatest("_from", F.lit(0)) / F.col("_size")))
-    joined = placed.join(stretches(tiles, sizes), ["contig", "_size", "_bin"], "left")
+    # Written first: joined right away, reads and stretches would share the aggregate's exchange, and Spark could not split
+    # the reads of a deep locus.
+    joined = placed.join(materialize(stretches(tiles, sizes), "baq-stretches"), ["contig", "_size", "_bin"], "left")
     start = F.greatest("_from", "_first")
     ref = F.when(F.col("_to") > start, F.substr("_bases", (start - F.col("_first") + 1).cast("int"), (F.col("_to") - start).cast("int")))
     ready = joined.select(*names, ref.alias("_ref"), F.when(ref.isNotNull(), (start - F.col("_from")).cast("int")).otherwise(0).alias("_missing"))

@@ -14,9 +14,12 @@ def calls(reads: DataFrame, sites: DataFrame, whitelist: DataFrame | None = None
 
     Applied in this order: strand flags, mapping quality, CIGAR, base quality, depth cap, mate overlap, call,
     whitelist. The join with sites takes away whole columns, so it may stand before the windows: it halves
-    what they sort, and join and windows share one shuffle by (contig, pos0)."""
+    what they sort, and join and windows share one shuffle by (contig, pos0). Without a depth cap no read decides on
+    another barcode's (mates share theirs), so the whitelist then stands before the CIGAR expansion."""
     used = reads.where(F.coalesce(F.col("mapq"), F.lit(255)) >= min_mapq).withColumn("strand", scalars.strand(F.col("flag"))).where("strand IS NOT NULL")
     used = used.withColumn("_read", F.struct(*order)).withColumn("barcode", scalars.barcode(F.col("qname")))
+    early = whitelist is not None and max_depth is None
+    used = keep_listed(used, whitelist) if early else used
     carried = ["strand", "barcode", *(["qname"] if overlap != "none" else []), *(["_read"] if max_depth is not None or overlap != "none" else [])]
     bases = pileup.expand(used, *carried)
     bases = bases.where(F.col("bq") >= min_base_quality) if overlap != "sum" else bases
@@ -24,7 +27,7 @@ def calls(reads: DataFrame, sites: DataFrame, whitelist: DataFrame | None = None
     kept = pileup.clip_overlap(pileup.cap_depth(at_sites, max_depth, "_read"), overlap, "_read")
     kept = kept.where(F.col("bq") >= min_base_quality) if overlap == "sum" else kept
     called = kept.select("barcode", "contig", "pos0", "tri", scalars.call(F.col("strand"), F.col("ref_base"), F.col("read_base")).alias("call")).where("call IS NOT NULL")
-    return called if whitelist is None else keep_listed(called, whitelist)
+    return called if whitelist is None or early else keep_listed(called, whitelist)
 
 
 def keep_listed(rows: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -46,6 +49,13 @@ def context_stats(counts: DataFrame) -> DataFrame:
     return summed.select(named, c.alias("c"), t.alias("t"), scalars.percent(c, t).alias("pct"))
 
 
+def site_differences(counts: DataFrame, other: DataFrame) -> DataFrame:
+    """barcode, context, chr, pos, t, c, other_t, other_c of the sites whose counts differ between two runs; 0 where one lacks a site."""
+    key = ["barcode", "context", "chr", "pos"]
+    both = counts.select(*key, "t", "c").join(other.select(*key, F.col("t").alias("other_t"), F.col("c").alias("other_c")), key, "full").na.fill(0, ["t", "c", "other_t", "other_c"])
+    return both.where("t <> other_t OR c <> other_c")
+
+
 def contig_breakdown(counts: DataFrame, reads: DataFrame) -> DataFrame:
     """chr, mapped_reads, cells, and c, t, pct of CG and CH."""
     of = lambda ctx, x: F.coalesce(F.sum(F.when(F.col("context") == ctx, F.col(x))), F.lit(0))

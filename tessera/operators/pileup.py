@@ -55,12 +55,25 @@ def blocks(cigar: Column) -> Column:
 
 def expand(reads: DataFrame, *carried: str) -> DataFrame:
     """contig, pos0, read_base, bq and the carried columns: a row for each aligned base; a missing quality is 0."""
-    runs = reads.select("contig", F.col("pos0").alias("_start"), "seq", "qual", *carried, F.inline(blocks(F.col("cigar"))))
-    each = runs.select("*", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("_i")).where(F.col("len") > 0)
-    at = F.col("q") + F.col("_i") + 1
-    quality = F.coalesce(F.ascii(F.substr("qual", at, F.lit(1))) - 33, F.lit(0))
+    runs = reads.select("contig", "pos0", "seq", "qual", *carried, F.inline(blocks(F.col("cigar")))).where(F.col("len") > 0)
     missing = F.col("qual").isNull() | (F.col("qual") == "*")
-    return each.select("contig", (F.col("_start") + F.col("r") + F.col("_i")).alias("pos0"), F.substr("seq", at, F.lit(1)).alias("read_base"), F.when(missing, 0).otherwise(quality).alias("bq"), *carried)
+    # Each run takes its own bases along, and not the whole read for each of them.
+    own = lambda c: F.substr(c, F.col("q") + 1, F.col("len"))
+    runs = runs.select("contig", (F.col("pos0") + F.col("r")).alias("_start"), "len", own("seq").alias("_seq"), F.when(~missing, own("qual")).alias("_qual"), *carried)
+    each = runs.select("*", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("_i"))
+    one = lambda c: F.substr(c, F.col("_i") + 1, F.lit(1))
+    return each.select("contig", (F.col("_start") + F.col("_i")).alias("pos0"), one("_seq").alias("read_base"), F.coalesce(F.ascii(one("_qual")) - 33, F.lit(0)).alias("bq"), *carried)
+
+
+def reference_span(cigar: Column) -> Column:
+    """Bases of the reference that an alignment takes up."""
+    sizes = F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), 1)
+    return F.aggregate(sizes, F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
+
+
+def overlapping(reads: DataFrame, contig: str, start: int, stop: int) -> DataFrame:
+    """The alignments that overlap a half-open stretch of a contig."""
+    return reads.where((F.col("contig") == contig) & (F.col("pos0") < stop) & (F.col("pos0") + reference_span(F.col("cigar")) > start))
 
 
 def cap_depth(bases: DataFrame, max_depth: int | None, *order: str) -> DataFrame:

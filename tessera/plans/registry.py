@@ -99,11 +99,11 @@ def ref_sites(spark, sf_dir):
     return reference.sites(bridge.tiles(spark, sf_dir))
 
 
-@query(f"""WITH tiles AS ({bridge.TILES_SQL}), x AS (SELECT contig, tile_start, i AS pos, 'NN' || seq || 'NN' AS s FROM tiles, (SELECT unnest([-1, 0, 1, 15, 30, 31, 32]) AS i)),
+@query(f"""WITH tiles AS ({bridge.TILES_SQL}), x AS (SELECT contig, tile_start, i AS pos, 'NN' || seq || 'NN' AS s FROM tiles, (SELECT unnest(range(-1, 33))::INT AS i)),
 y AS (SELECT contig, tile_start, pos, CASE WHEN pos BETWEEN 0 AND 31 THEN substr(s, pos + 3, 1) END AS b, substr(s, pos + 1, 1) AS p2, substr(s, pos + 2, 1) AS p1, substr(s, pos + 4, 1) AS n1, substr(s, pos + 5, 1) AS n2 FROM x)
 SELECT contig, tile_start, pos, CASE b WHEN 'C' THEN CASE WHEN n1 = 'G' THEN 'CpG' WHEN n2 = 'G' AND n1 <> 'N' THEN 'CHG' ELSE 'CHH' END WHEN 'G' THEN CASE WHEN p1 = 'C' THEN 'CpG' WHEN p2 = 'C' AND p1 <> 'N' THEN 'CHG' ELSE 'CHH' END END AS tri FROM y""")
 def trinuc_context(spark, sf_dir):
-    t = bridge.tiles(spark, sf_dir).withColumn("pos", F.explode(F.array(*map(F.lit, [-1, 0, 1, 15, 30, 31, 32]))))
+    t = bridge.tiles(spark, sf_dir).withColumn("pos", F.explode(F.sequence(F.lit(-1), F.length("seq"))))
     return t.select("contig", "tile_start", "pos", scalars.trinucleotide_at(F.col("seq"), F.col("pos")).alias("tri"))
 
 
@@ -251,6 +251,26 @@ def window_counts(spark, sf_dir):
     return _counts(spark, sf_dir).groupBy("chr", number).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
+@query(f"""WITH {_COUNTS}, free AS (SELECT barcode, CASE tri WHEN 'CpG' THEN 'CG' ELSE 'CH' END AS context, contig AS chr, pos0 + 1 AS pos, count(*) FILTER (call = 0) AS t, count(*) FILTER (call = 1) AS c
+ FROM (SELECT barcode, contig, pos0, tri, {CALL} AS call FROM good JOIN sites USING (contig, pos0)) WHERE call IS NOT NULL GROUP BY barcode, tri, contig, pos0)
+SELECT barcode, context, chr, pos, coalesce(a.t, 0) AS t, coalesce(a.c, 0) AS c, coalesce(b.t, 0) AS other_t, coalesce(b.c, 0) AS other_c FROM counts a FULL JOIN free b USING (barcode, context, chr, pos)
+WHERE coalesce(a.t, 0) <> coalesce(b.t, 0) OR coalesce(a.c, 0) <> coalesce(b.c, 0)""")
+def site_differences(spark, sf_dir):
+    """What depth cap and overlap rule change."""
+    return calling.site_differences(_counts(spark, sf_dir), _counts(spark, sf_dir, max_depth=None, overlap="none"))
+
+
+@query(f"WITH {_READS}, span AS (SELECT *, list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MDN=X]', 1), lambda x: x::BIGINT)) AS n FROM reads) SELECT contig, pos0, flag, mapq, cigar, qname, seq, qual FROM span WHERE contig = 'chr1' AND pos0 < 5000 AND pos0 + n > 100")
+def region_reads(spark, sf_dir):
+    return pileup.overlapping(bridge.reads(spark, sf_dir), "chr1", 100, 5000)
+
+
+@query(f"WITH {_bases(_USED + " AND replace(replace(regexp_extract(qname, '^[^:/]*'), 'BC', ''), '/', '')::INT % 2 = 0")}, {_SITES}, calls AS (SELECT * FROM (SELECT barcode, contig, pos0, tri, {CALL} AS call FROM bases JOIN sites USING (contig, pos0) WHERE bq >= 20) WHERE call IS NOT NULL) SELECT barcode, CASE tri WHEN 'CpG' THEN 'CG' ELSE 'CH' END AS context, tri, contig AS chr, pos0 + 1 AS pos, {PCT.format(c='count(*) FILTER (call = 1)', t='count(*) FILTER (call = 0)')} AS pct, count(*) FILTER (call = 0) AS t, count(*) FILTER (call = 1) AS c FROM calls GROUP BY barcode, tri, contig, pos0")
+def whitelist_early(spark, sf_dir):
+    """Without a depth cap the whitelist stands before the CIGAR expansion."""
+    return _counts(spark, sf_dir, bridge.whitelist(spark), max_depth=None, overlap="none")
+
+
 def baq_qualities(spark, sf_dir):
     """The model has no SQL: tests hold it against sums over all paths."""
     return baq.realign(_used(spark, sf_dir), bridge.tiles(spark, sf_dir)).select("contig", "pos0", "flag", "qname", "qual")

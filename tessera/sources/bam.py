@@ -234,7 +234,7 @@ class BamReader(DataSourceReader):
                 windows = index[ref][max(0, least) >> WINDOW_BITS :]
                 near = sorted({x for x in windows[: (before - 1 >> WINDOW_BITS) - (max(0, least) >> WINDOW_BITS) + 1] if x})
                 near = near[:: max(1, len(near) // STRETCHES)]
-                out += [Stretch(a, z, ref, before) for a, z in zip(near, [*near[1:], END], strict=True)]
+                out += [Stretch(a, z, ref, before) for a, z in zip(near, [*near[1:], END], strict=False)]
         return out or [Stretch(first, first)]
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:

@@ -7,11 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThan
 
 from tessera.sources.files import open_file
 
 
+#: Bases of a tile of FASTA.
+TILE = 10_000
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of SAM text (plain or .gz) in the columns of the BAM source."""
     x = F.split("value", "\t")
@@ -57,15 +61,28 @@ class Tiles(InputPartition):
 
 class FastaReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.tile, self.part = options["path"], int(options.get("tile", 10_000)), int(options.get("part", 5_000_000))
+        self.path, self.tile, self.part = options["path"], int(options.get("tile", TILE)), int(options.get("part", 5_000_000))
+        self.contigs, self.least, self.before = None, 0, 1 << 62
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("contig",):
+                named = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.contigs = named if self.contigs is None else self.contigs & named
+            elif isinstance(f, GreaterThanOrEqual) and f.attribute == ("tile_start",):
+                self.least = max(self.least, f.value)
+            elif isinstance(f, LessThan) and f.attribute == ("tile_start",):
+                self.before = min(self.before, f.value)
+            yield f  # pruning only: Spark filters rows as well
 
     def partitions(self) -> list[InputPartition]:
-        step = max(self.tile, self.part // self.tile * self.tile)
-        return [Tiles(e, a, min(a + step, e[1])) for e in fasta_index(self.path) for a in range(0, e[1], step)]
+        step, wanted = max(self.tile, self.part // self.tile * self.tile), [e for e in fasta_index(self.path) if self.contigs is None or e[0] in self.contigs]
+        first = self.least // self.tile * self.tile  # tiles begin at multiples
+        return [Tiles(e, a, min(a + step, e[1])) for e in wanted for a in range(first, min(e[1], self.before), step)] or [Tiles(("", 0, 0, 1, 1), 0, 0)]
 
     def read(self, partition: Tiles) -> Iterator[tuple]:
         with open_file(self.path) as f:
-            for a in range(partition.start, partition.stop, self.tile):
+            for a in range(partition.start, min(partition.stop, self.before), self.tile):
                 yield partition.entry[0], a, fetch(f, partition.entry, a, min(a + self.tile, partition.stop))
 
 
@@ -81,7 +98,8 @@ class FastaSource(DataSource):
         return FastaReader(self.options)
 
 
-def read_fasta(spark: SparkSession, path: str, tile: int = 10_000) -> DataFrame:
-    """contig, tile_start, seq of an indexed FASTA file."""
+def read_fasta(spark: SparkSession, path: str, tile: int = TILE) -> DataFrame:
+    """contig, tile_start, seq of an indexed FASTA file; filters on contig and bounds on tile_start prune the read."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FastaSource)
     return spark.read.format("fasta").option("tile", tile).load(path)

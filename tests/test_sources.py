@@ -1,4 +1,5 @@
 import gzip
+import random
 import struct
 import zlib
 
@@ -10,6 +11,7 @@ from tessera.operators import calling, pileup, reference
 from tessera.sources import bam, sinks, text
 from tessera.streaming import sites as streaming
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThanOrEqual, In, LessThan
 
 REF = "ACGTACGTACGGGGAAAAAT"
 # qname flag contig pos mapq cigar seq qual
@@ -107,6 +109,9 @@ def test_flags_calls_barcodes_shards(spark):
     b = spark.createDataFrame([("cellA", "x", "anything")], "a string, b string, c string")
     assert tuple(b.select(scalars.shard(F.col("a"), 16), scalars.shard(F.col("b"), 8), scalars.shard(F.col("c"), 1)).head()) == (7, 6, 0)
     scalars.register_sql(spark)
+    rows = spark.createDataFrame([("ACGNCAGCATTCG", p, b, n) for p in range(-1, 14) for b, n in (("cellA", 16), ("x", 8), ("b", 1))], "s string, p int, b string, n int")
+    got = rows.select(F.expr("trinucleotide_of(s, p)"), scalars.trinucleotide_at(F.col("s"), F.col("p")), F.expr("shard_of(b, n)"), "b", "p").collect()
+    assert all(r[0] == r[1] and r[2] == {"cellA": 7, "x": 6, "b": 0}[r.b] for r in got) and {r[0] for r in got} == {"CpG", "CHG", "CHH", None}
     assert tuple(spark.sql("SELECT strand_of(99), call_of('OT', 'C', 'T'), context_of('CHG'), barcode_of('a/b'), percent_of(1, 3), percent_of(0, 0)").head()) == ("OT", 1, "CH", "a", 25.0, 0.0)
 
 
@@ -156,6 +161,122 @@ def test_statistics_only_with_capped_qualities(spark, files):
     assert capped["reads"] == 6 and 0 <= total(capped) <= total(plain)
 
 
+def large_bam(path, seed=4):
+    """Three contigs of reads of many lengths and skips, with the linear index of a .bai beside them, and unplaced reads at the end."""
+    rng, names = random.Random(seed), [("chr1", 200_000), ("chr2", 150_000), ("chr3", 90_000), ("chr4", 10)]
+    records, spans = [], []
+    for ref in range(3):
+        for pos in sorted(rng.randrange(names[ref][1] - 40_000) for _ in range(700)):
+            size, skip = rng.choice([0, 1, 7, 50, 75]), rng.choice([0, 0, 0, 300, 30_000])
+            ops = [size << 4] if size < 50 or not skip else [20 << 4, skip << 4 | 3, (size - 20) << 4]
+            spans.append((ref, pos, pos + size + (skip if len(ops) == 3 else 0)))
+            records.append((ref, pos, ops if size else [], size))
+    records += [(-1, -1, [], 9)] * 5
+    head = b"BAM\1" + struct.pack("<ii", 0, len(names)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k) for n, k in names)
+    raw = []
+    for i, (ref, pos, ops, size) in enumerate(records):
+        q, quals = f"BC{i % 9}:{i}", b"\xff" * size if i % 5 == 0 else bytes(rng.randrange(41) for _ in range(size))
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(q) + 1, i % 61, 0, len(ops), 99, size, -1, -1, 0) + q.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops)
+        body += bytes(rng.choice((1, 2, 4, 8, 15)) << 4 | rng.choice((1, 2, 4, 8)) for _ in range((size + 1) // 2)) + quals + b"XXZtag\0"
+        raw.append(struct.pack("<i", len(body)) + body)
+    data, step = head + b"".join(raw), 700
+    packed, at = [bgzf(data[i : i + step], step)[:-28] for i in range(0, len(data), step)], 0
+    starts = [0]
+    for p in packed:
+        starts.append(starts[-1] + len(p))
+    path.write_bytes(b"".join(packed) + bgzf(b""))
+    at, index = len(head), [dict() for _ in names]
+    for (ref, pos, stop), r in zip(spans, raw, strict=False):
+        for w in range(pos >> 14, (max(stop, pos + 1) - 1 >> 14) + 1):
+            index[ref].setdefault(w, starts[at // step] << 16 | at % step)
+        at += len(r)
+    bai = b"BAI\1" + struct.pack("<i", len(names))
+    for of in index:
+        n = max(of, default=-1) + 1
+        bai += struct.pack("<ii", 0, n) + struct.pack(f"<{n}Q", *(of.get(w, 0) for w in range(n)))
+    (path.parent / (path.name + ".bai")).write_bytes(bai)
+    return spans
+
+
+def test_reads_are_pruned_and_whole(spark, tmp_path):
+    spans = large_bam(tmp_path / "l.bam")
+    at = str(tmp_path / "l.bam")
+    whole = bam.read_bam(spark, at)
+    rows = whole.orderBy("rec_idx").collect()
+    assert len(rows) == len(spans) + 5 and [(r.contig, r.pos0) for r in rows[:-5]] == [(f"chr{ref + 1}", pos) for ref, pos, _ in spans] and rows[-1].contig is None
+    assert [r.qname for r in rows] == [f"BC{i % 9}:{i}" for i in range(len(rows))] and [r.mapq for r in rows] == [i % 61 for i in range(len(rows))]
+    assert all((len(r.seq) == len(r.qual)) if r.qual else r.seq == "*" or i % 5 == 0 for i, r in enumerate(rows))
+    every = len(bam.BamReader(at).partitions())
+    shown = lambda df: sorted(map(repr, df.collect()))
+    for condition, most in (("contig = 'chr2'", 0.4), ("contig IN ('chr1', 'chr3')", 0.75), ("contig IN ('chr3', 'none') AND pos0 >= 20000", 0.2), ("contig = 'chr1' AND pos0 < 20000", 0.2), ("contig = 'chr1' AND pos0 > 20000 AND pos0 <= 40000", 0.25), ("contig = 'chr4'", 0.1), ("contig = 'chr1' AND pos0 = 1", 0.2)):
+        pruned = whole.where(condition)
+        assert shown(pruned) == sorted(repr(r) for r in spark.createDataFrame(rows, whole.schema).where(condition).collect())
+        assert pruned.rdd.getNumPartitions() <= max(1, most * every), condition
+    for region in (("chr1", 0, 16_000), ("chr2", 50_000, 50_001), ("chr3", 30_000, 90_000), ("chr1", 199_000, 200_000), ("chr4", 0, 5), ("none", 0, 5)):
+        got = bam.read_bam(spark, at, region)
+        assert shown(got) == shown(pileup.overlapping(spark.createDataFrame(rows, whole.schema), *region)), region
+        assert got.rdd.getNumPartitions() <= max(1, 0.5 * every)
+    want = {(ref, pos) for ref, pos, stop in spans if ref == 1 and pos < 60_000 and stop > 55_000}
+    assert {(1, r.pos0) for r in bam.read_bam(spark, at, ("chr2", 55_000, 60_000)).collect()} == want
+    (tmp_path / "l.bam.bai").unlink()
+    assert shown(bam.read_bam(spark, at, ("chr2", 55_000, 60_000))) == shown(whole.where("contig = 'chr2'").where("pos0 < 60000").transform(lambda d: pileup.overlapping(d, "chr2", 55_000, 60_000)))
+
+
+def test_sequence_is_read_where_it_is_asked_for(spark, files):
+    tiles = text.read_fasta(spark, str(files / "x.fa"), tile=3)
+    assert tiles.where("contig = 'chrT' AND tile_start >= 7 AND tile_start < 15").orderBy("tile_start").selectExpr("concat(tile_start, seq)").collect() == [("9CGG",), ("12GGA",)]
+    options = {"path": str(files / "x.fa"), "tile": "3", "part": "6"}
+    reader = text.FastaReader(options)
+    every = len(reader.partitions())
+    list(reader.pushFilters([In(("contig",), ("chrU",)), GreaterThanOrEqual(("tile_start",), 6), LessThan(("tile_start",), 9)]))
+    assert every == 6 and [(x.entry[0], x.start) for x in reader.partitions()] == [("chrU", 6)]
+
+
+def test_region_reads_a_part_and_gives_the_same_sites(spark, files):
+    run = lambda source, **more: api.extract_methylation(spark, str(files / source), str(files / "x.fa"), str(files / "r"), ["chrT"], max_depth=None, **more)
+    run("x.bam")
+    every = {(r.barcode, r.pos, r.t, r.c) for r in spark.read.parquet(str(files / "r/sites")).collect()}
+    for source in ("x.bam", "x.sam"):
+        for a, b in ((0, 4), (4, 10), (9, 12)):
+            run(source, start=a, stop=b)
+            assert {(r.barcode, r.pos, r.t, r.c) for r in spark.read.parquet(str(files / "r/counts")).collect()} == {x for x in every if a < x[1] <= b}
+
+
+def test_summary_without_output(spark, files):
+    before = sorted(p.name for p in files.iterdir())
+    full = api.extract_methylation(spark, str(files / "x.bam"), str(files / "x.fa"), str(files / "full"), ["chrT", "chrU"])
+    only = api.extract_methylation(spark, str(files / "x.bam"), str(files / "x.fa"), None, ["chrT", "chrU"])
+    assert only["contexts"] == full["contexts"] and only["cells"] == full["cells"] and only["peak_memory_mb"] > 0
+    assert sorted(p.name for p in files.iterdir()) == sorted([*before, "full"])
+    part = api.extract_methylation(spark, str(files / "x.bam"), str(files / "x.fa"), None, ["chrT"], start=0, stop=6, dump_sites=str(files / "dump"))
+    rows = spark.read.option("header", True).option("sep", "\t").csv(str(files / "dump"))
+    assert rows.count() == rows.where("pos BETWEEN 1 AND 6").count() > 0 and part["contexts"]["Pooled"]["t"] == rows.selectExpr("cast(sum(t) as int)").head()[0]
+
+
+def test_appending_and_batches(spark, files):
+    out = str(files / "app")
+    run = lambda contig, mode: api.extract_methylation(spark, str(files / "x.bam"), str(files / "x.fa"), out, [contig], mode=mode, min_base_quality=0)
+    run("chrT", "overwrite")
+    first = spark.read.parquet(out + "/sites").count()
+    run("chrU", "append")
+    sites = spark.read.parquet(out + "/sites")
+    assert first and sites.count() == first + sites.where("chr = 'chrU'").count() > first
+    assert {tuple(r) for r in spark.read.parquet(out + "/index").select("barcode", "context").collect()} == {tuple(r) for r in sites.select("barcode", "context").collect()}
+    both = api.extract_batch(spark, [str(files / "x.bam"), str(files / "x.sam").replace("x.sam", "y.sam")] if (files / "y.sam").write_text((files / "x.sam").read_text()) else [], str(files / "x.fa"), str(files / "batch"), chroms=["chrT"])
+    assert set(both) == {"x", "y"} and both["x"]["contexts"] == both["y"]["contexts"]
+    a, b = (spark.read.parquet(str(files / "batch" / n / "counts")) for n in "xy")
+    assert calling.site_differences(a, b).count() == 0 and calling.site_differences(a, b.where("pos <> 2")).count() == a.where("pos = 2").count() > 0
+    with pytest.raises(ValueError):
+        api.extract_batch(spark, [str(files / "x.bam"), str(files / "x.sam")], str(files / "x.fa"), out)
+
+
+def test_coverage_text(spark, tmp_path):
+    rows = [("b1", "CG", "chr1", 5, 50.0, 1, 1), ("b1", "CG", "chr1", 2, 0.0, 3, 0), ("b1", "CH", "chr1", 9, 100.0, 0, 2), ("b2", "CG", "chr2", 1, 0.0, 1, 0)]
+    sinks.write_coverage(spark.createDataFrame(rows, "barcode string, context string, chr string, pos long, pct double, t long, c long"), str(tmp_path / "cov"))
+    text_of = lambda context, cell: "".join(p.read_text() for p in sorted((tmp_path / "cov" / f"context={context}" / f"barcode={cell}").glob("*.csv")))
+    assert text_of("CG", "b1") == "chr1\t2\t0.0\t3\t0\nchr1\t5\t50.0\t1\t1\n" and text_of("CH", "b1") == "chr1\t9\t100.0\t0\t2\n" and text_of("CG", "b2") == "chr2\t1\t0.0\t1\t0\n"
+
+
 FAKE = """
 import os, pickle
 class Data:
