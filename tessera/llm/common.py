@@ -1,18 +1,14 @@
-"""What the operators share: tables in the shared folder and hashing of words in whole batches."""
+"""What the operators share: input tables, columns beside the caller's, and hashing of words in whole batches."""
 
 from __future__ import annotations
 
-import contextlib
-import os
-import tempfile
-import threading
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import drop_tables, fresh_dir, materialize, remove, scratch, shared_dir  # noqa: F401
+
 #: Bytes of text that are hashed at once; bounds memory for any document length.
 PIECE = 1 << 20
 
@@ -34,69 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine only where none is named and the master is this machine too, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-_scopes = threading.local()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The same rows as a written table in the shared folder: computed once, and lost with no executor."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.option("compression", "lz4_raw").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    if held := getattr(_scopes, "held", None):
-        held[-1].append((out, path))
-    return out
-
-
-@contextlib.contextmanager
-def scratch():
-    """Tables that materialize() writes inside are deleted at the end, but for those given to the function that this yields."""
-    held = _scopes.held = [*getattr(_scopes, "held", []), []]
-    kept: list[DataFrame] = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df)
-        return df
-
-    try:
-        yield keep
-    finally:
-        made, _scopes.held = held[-1], held[:-1]
-        for df, path in made:
-            if not any(df is k for k in kept):
-                remove(df.sparkSession, path)
-            elif _scopes.held:
-                _scopes.held[-1].append((df, path))
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def drop_tables(*tables: DataFrame) -> None:
-    """Deletes tables of materialize() that no later step reads."""
-    for df in tables:
-        for path in {os.path.dirname(p) for p in df.inputFiles()}:
-            remove(df.sparkSession, path)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of df has it: an operator's own columns beside the caller's."""
     taken, out = {c.lower() for c in df.columns}, []
