@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, ngram_join, pieces, quality
-from tessera.llm.common import materialize, table
+from tessera.llm.common import drop_tables, materialize, scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as keep:  # what a stage writes in between goes once its own rows are written
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before is not None:
+            drop_tables(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
