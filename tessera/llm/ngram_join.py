@@ -41,7 +41,7 @@ from tessera.llm.components import components
 
 WIDTH = 5
 #: Shingles of a block, sets and shingles of a tile's side, and sets of small clusters that one task takes together.
-BLOCK, TILE, WORDS, BIN = 1_000_000, 512, 1 << 20, 64
+BLOCK, TILE, WORDS, BIN = 1_000_000, 256, 1 << 20, 128
 _U = np.uint64
 _SALT = _U(0xA0761D6478BD642F)
 
