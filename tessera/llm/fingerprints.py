@@ -3,9 +3,9 @@
 A text is cut into atoms: words with the white space or punctuation behind them, and 64 characters at a time where
 neither comes, so that texts of any script are cut. Paragraphs close after a line's end, and within long lines
 after atoms whose hash is divisible by PARAGRAPH (after every second one that has no break): cuts depend on the text around them alone, so an edit changes the
-paragraphs that it touches and no others. A paragraph's digest is a 64-bit hash chained over its atoms; paragraphs are gathered into
-sections that close after digests divisible by SECTION, and sections alike into chapters; the root (SHA-256) is over
-the digests of the chapters and their number.
+paragraphs that it touches and no others. A paragraph's digest is a 64-bit hash of its text; paragraphs are gathered into
+sections that close after digests divisible by SECTION and hash the chain of them, and sections alike into chapters;
+the root (SHA-256) is over the digests of the chapters and their number.
 
 A fingerprint is "root/chapters/sections/paragraphs", the 64-bit digests of each level run together in base64.
 Equal roots mean equal texts; likeness is the Dice coefficient of the distinct paragraph digests, 1 for equal
@@ -54,15 +54,26 @@ def with_leaves(df: DataFrame, **texts: str) -> DataFrame:
     """df with the paragraph digests of its text columns, under the given names; each step is a column of its own, so it is made once."""
     own = df.columns
     df = df.select("*", *[F.split(text, ATOM).alias(f"{name}_atoms") for name, text in texts.items()])
-    df = df.select("*", *[F.transform(f"{name}_atoms", lambda a: F.xxhash64(a)).alias(f"{name}_hashes") for name in texts])
 
-    def closes(name: str):
-        hashes, atoms = F.col(f"{name}_hashes"), F.col(f"{name}_atoms")
-        often = lambda i: F.when(F.char_length(F.get(atoms, i)) >= UNBROKEN, 2).otherwise(PARAGRAPH)
-        return lambda i: (F.pmod(F.get(hashes, i), often(i)) == 0) | F.endswith(F.get(atoms, i), F.lit("\n"))
+    def last(n: Column):
+        """The position (from 1) of an atom that closes a paragraph, else null."""
 
-    df = df.select(*own, *[f"{name}_hashes" for name in texts], *[_ends(F.size(f"{name}_atoms"), closes(name)).alias(f"{name}_ends") for name in texts])
-    return df.select(*own, *[_branches(F.col(f"{name}_hashes"), F.col(f"{name}_ends")).alias(name) for name in texts])
+        def of(atom: Column, i: Column) -> Column:
+            often = F.when(F.char_length(atom) >= UNBROKEN, 2).otherwise(PARAGRAPH)
+            return F.when((F.pmod(F.xxhash64(atom), often) == 0) | F.endswith(atom, F.lit("\n")) | (i == n - 1), i + 1)
+
+        return of
+
+    def digests(atoms: Column, ends: Column) -> Column:
+        def of(end: Column, k: Column) -> Column:
+            before = F.when(k == 0, 0).otherwise(F.get(ends, k - 1))
+            return F.xxhash64(F.array_join(F.slice(atoms, before + 1, end - before), ""))
+
+        return F.transform(ends, of)
+
+    ends = [F.array_compact(F.transform(f"{name}_atoms", last(F.size(f"{name}_atoms")))).alias(f"{name}_ends") for name in texts]
+    df = df.select(*own, *[f"{name}_atoms" for name in texts], *ends)
+    return df.select(*own, *[digests(F.col(f"{name}_atoms"), F.col(f"{name}_ends")).alias(name) for name in texts])
 
 
 def with_fingerprints(df: DataFrame, **leaves: str) -> DataFrame:

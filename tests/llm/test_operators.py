@@ -666,7 +666,7 @@ def tree_of(spark, *texts):
 
 
 def test_trees_equal_a_plain_version(spark):
-    """The same tree built in Python from Spark's own hashes of atoms and of pairs."""
+    """The same tree built in Python from Spark's own hashes of strings and of pairs."""
     rng, mask = random.Random(6), 2**64 - 1
     word = lambda: "".join(rng.choice("abcdé漢я") for _ in range(rng.randrange(1, 9)))
     texts = ["", "one", "\n\n", "x" * 200, "漢字" * 300, " ".join(word() for _ in range(3000)), "\n".join(" ".join(word() for _ in range(rng.randrange(12))) for _ in range(400))]
@@ -679,7 +679,8 @@ def test_trees_equal_a_plain_version(spark):
                 own.append(held)
                 held = ""
         atoms.append(own + [held] if held or not own else own)
-    known = {r.a: r.h for r in spark.createDataFrame([(a,) for a in {a for x in atoms for a in x}], "a string").select("a", F.xxhash64("a").alias("h")).collect()}
+    hashes = lambda strings: {r.a: r.h for r in spark.createDataFrame([(a,) for a in strings], "a string").select("a", F.xxhash64("a").alias("h")).collect()}
+    known = hashes({a for x in atoms for a in x})
     (got, _), xx = tree_of(spark, *texts), {}
 
     def chained(groups):
@@ -705,7 +706,10 @@ def test_trees_equal_a_plain_version(spark):
 
     for own, (root, *levels) in zip(atoms, got, strict=True):
         h = [known[a] for a in own]
-        want = chained(grouped(h, lambda i: h[i] % (2 if len(own[i]) == 64 else 16) == 0 or own[i].endswith("\n")))
+        closes = lambda i: h[i] % (2 if len(own[i]) == 64 else 16) == 0 or own[i].endswith("\n")
+        paragraphs = ["".join(x) for x in grouped(own, closes)]
+        of = hashes(set(paragraphs))
+        want = [of[x] for x in paragraphs]
         trees = [want]
         for _ in range(2):
             below = trees[0]
