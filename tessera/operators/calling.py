@@ -23,7 +23,8 @@ def calls(reads: DataFrame, sites: DataFrame, whitelist: DataFrame | None = None
     carried = ["strand", "barcode", *(["qname"] if overlap != "none" else []), *(["_read"] if max_depth is not None or overlap != "none" else [])]
     bases = pileup.expand(used, *carried)
     bases = bases.where(F.col("bq") >= min_base_quality) if overlap != "sum" else bases
-    at_sites = bases.join(sites, ["contig", "pos0"])
+    # Spark takes the bases, whose number it can't know before they are exploded, for the smaller side and would broadcast them.
+    at_sites = bases.join(sites.hint("shuffle_hash"), ["contig", "pos0"])
     kept = pileup.clip_overlap(pileup.cap_depth(at_sites, max_depth, "_read"), overlap, "_read")
     kept = kept.where(F.col("bq") >= min_base_quality) if overlap == "sum" else kept
     called = kept.select("barcode", "contig", "pos0", "tri", scalars.call(F.col("strand"), F.col("ref_base"), F.col("read_base")).alias("call")).where("call IS NOT NULL")

@@ -90,7 +90,7 @@ def strand_classify(spark, sf_dir):
 @query(f"WITH {_bases(_USED)}, {_SITES} SELECT strand, ref_base, read_base, {CALL} AS call, count(*) AS n FROM bases JOIN sites USING (contig, pos0) GROUP BY ALL")
 def mctot_call(spark, sf_dir):
     reads = _used(spark, sf_dir).withColumn("strand", scalars.strand(F.col("flag")))
-    at = pileup.expand(reads, "strand").join(reference.sites(bridge.tiles(spark, sf_dir)), ["contig", "pos0"])
+    at = pileup.expand(reads, "strand").join(reference.sites(bridge.tiles(spark, sf_dir)).hint("shuffle_hash"), ["contig", "pos0"])
     return at.groupBy("strand", "ref_base", "read_base", scalars.call(F.col("strand"), F.col("ref_base"), F.col("read_base")).alias("call")).agg(F.count("*").alias("n"))
 
 
