@@ -4,8 +4,9 @@ Line keys (stripped of x20 and x09-x0D at both ends, A-Z lower-cased, of min_cha
 are hashed to 128 bits. Pairs of hash and doc_id are made distinct, then counts of documents and the largest doc_id
 are summed up for each distinct hash; the hashes that min_docs documents hold are split into shards, and each shard becomes a minimal perfect hash with
 arrays of 64-bit fingerprints, counts and last documents. Rarer lines can lose nothing and stay out of the
-index: a fingerprint turns them away. Documents probe the arrays, so lines are never joined. Shards are
-broadcast in waves of a fixed number of bytes; each wave marks lines, the last one writes the texts anew.
+index: a fingerprint turns them away. Documents probe the arrays in one pass, so lines are never joined. An index of up to
+WAVE_BYTES is broadcast; a larger one stays in the shared folder, where a task loads its shards in turn, one at a time, for
+all lines of each HELD_BYTES of text.
 
 Defined cases: a null or empty text is one empty line; rows that share a doc_id count as one document, and all rows
 with the largest doc_id keep the line; rows with a null doc_id are each a document of its own, smaller than any other; lines are looked at
@@ -15,8 +16,13 @@ n_dropped replaced.
 
 from __future__ import annotations
 
+import re
+from array import array
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,8 +32,9 @@ from pyspark.sql import types as T
 from tessera.llm.common import code_points, materialize, mix, scratch, table, unused
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: Bytes of index that are broadcast at once, lines of a shard, bits for each line on a level.
-WAVE_BYTES, SHARD_LINES, GAMMA = 32 << 20, 100_000, 2
+#: Bytes of index that are broadcast, of text that a task holds while it loads the shards in turn, lines of a shard,
+#: bits for each line on a level.
+WAVE_BYTES, HELD_BYTES, SHARD_LINES, GAMMA = 32 << 20, 64 << 20, 100_000, 2
 _ENTRY = 8 + 4 + 8 + 1
 _NONE = -(2**63)
 _U = np.uint64
@@ -127,83 +134,98 @@ def build_index(lines: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(build, _SHARD)
 
 
-class Shards:
-    """Probes of the shards of one wave."""
-
-    def __init__(self, rows: list[dict], shards: int):
-        self.shards, self.of = shards, {}
-        for r in rows:
-            f = PerfectHash(list(r["sizes"]), np.frombuffer(r["bits"], _U), np.frombuffer(r["rest"], _U))
-            self.of[r["shard"]] = (f, np.frombuffer(r["fingerprints"], _U), np.frombuffer(r["counts"], np.uint32), np.frombuffer(r["last"], np.int64))
-
-    def drops(self, h1: np.ndarray, h2: np.ndarray, docs: np.ndarray, min_docs: int) -> np.ndarray:
-        """Whether each line goes: its fingerprint is indexed, often enough, and another document is the last."""
-        out = np.zeros(len(h1), bool)
-        shard = h1.view(np.int64) % self.shards
-        for s, (f, prints, counts, last) in self.of.items():
-            at = np.flatnonzero(shard == s)
-            slot = f.slots(mix(h1[at] ^ (h2[at] << _U(1))))
-            at, slot = at[slot >= 0], slot[slot >= 0]
-            out[at] = (prints[slot] == h2[at]) & (counts[slot] >= min_docs) & (last[slot] != docs[at])
-        return out
+class Shard:
+    """The perfect hash and the arrays of one row of the index."""
+
+    def __init__(self, r: dict):
+        self.shard = r["shard"]
+        self.hash = PerfectHash(list(r["sizes"]), np.frombuffer(r["bits"], _U), np.frombuffer(r["rest"], _U))
+        self.prints, self.counts, self.last = np.frombuffer(r["fingerprints"], _U), np.frombuffer(r["counts"], np.uint32), np.frombuffer(r["last"], np.int64)
+
+
+def read_shards(files: list[str]):
+    """The shards that files of the shared folder hold, one at a time."""
+    for uri in files:
+        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+        with fs.open_input_file(path) as f:
+            for b in pq.ParquetFile(f, buffer_size=1 << 20, pre_buffer=False).iter_batches(batch_size=1):
+                yield from map(Shard, b.to_pylist())
+
 
+def dropped(index, shards: int, h1: np.ndarray, h2: np.ndarray, docs: np.ndarray, min_docs: int) -> np.ndarray:
+    """Whether each line goes: its fingerprint is indexed, often enough, and another document is the last."""
+    out = np.zeros(len(h1), bool)
+    shard = h1.view(np.int64) % shards
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in index:
+        at = order[bounds[s.shard] : bounds[s.shard + 1]]
+        slot = s.hash.slots(mix(h1[at] ^ (h2[at] << _U(1))))
+        at, slot = at[slot >= 0], slot[slot >= 0]
+        out[at] = (s.prints[slot] == h2[at]) & (s.counts[slot] >= min_docs) & (s.last[slot] != docs[at])
+    return out
+
+
+def in_groups(batches, most: int):
+    """Lists of consecutive batches, each ended by the batch with which it reaches so many bytes."""
+    group, size = [], 0
+    for b in batches:
+        group.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
-def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, wave_bytes: int = WAVE_BYTES, shard_lines: int = SHARD_LINES) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, wave_bytes: int = WAVE_BYTES, shard_lines: int = SHARD_LINES, held_bytes: int = HELD_BYTES) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines (before) and n_dropped."""
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    id_, gone_ = unused(docs, "_id", "_dropped")
+    (id_,) = unused(docs, "_id")
     with scratch() as keep:
         lines = materialize(count_lines(docs, min_chars, min_docs), "line-counts")
         n = lines.count()
         shards = max(1, -(-n // shard_lines))
-        index = keep(materialize(build_index(lines, shards), "line-index"))
-    per_wave = max(1, wave_bytes // (_ENTRY * shard_lines))
+        index = materialize(build_index(lines, shards), "line-index")
+        few = n * _ENTRY <= wave_bytes
+        held = spark.sparkContext.broadcast([r.asDict() for r in index.collect()]) if few else None  # at most wave_bytes
+        files = [] if few else [re.sub("^file:/+", "file:///", f) for f in keep(index).inputFiles()]
     names = docs.columns
-    out_schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-
-    def passing(held, last_wave: bool):
-        def run(batches):
-            found = Shards(held.value, shards)
-            for b in batches:
-                texts = b.column("text").to_pylist()
-                ids = [_NONE if d is None else d for d in b.column(id_).to_pylist()]
-                marked = b.column(gone_).to_pylist()
-                where, keys = [], []
-                for row, text in enumerate(texts):
-                    for line, key in line_keys(text, min_chars) if text is not None else ():
-                        where.append((row, line))
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+
+    def run(batches):
+        index = [Shard(r) for r in held.value] if few else None
+        for group in in_groups(batches, 0 if few else held_bytes):
+            ids, keys, rows, at = [], [], array("q"), array("q")  # a line's row is its document's place in the group
+            for b in group:
+                for doc, text in zip(b.column(id_).to_pylist(), b.column("text"), strict=True):
+                    for line, key in line_keys(text.as_py(), min_chars) if text.is_valid else ():
                         keys.append(key)
+                        rows.append(len(ids))
+                        at.append(line)
+                    ids.append(_NONE if doc is None else doc)
+            gone: dict[int, set[int]] = {}
+            if keys:
                 h = np.frombuffer(b"".join(keys), _U).reshape(-1, 2)
-                rows = np.array([r for r, _ in where], np.int64)
-                gone: dict[int, set[int]] = {}
-                drops = found.drops(np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]), np.array(ids, np.int64)[rows], min_docs) if len(h) else ()
-                for i in np.flatnonzero(drops):
-                    gone.setdefault(where[i][0], set()).add(where[i][1])
-                cols = {c: b.column(c) for c in names}
-                if not last_wave:
-                    more = [np.array(sorted({*np.frombuffer(m or b"", np.int64), *gone.get(r, ())}), np.int64).tobytes() for r, m in enumerate(marked)]
-                    yield pa.RecordBatch.from_pydict(cols | {id_: b.column(id_), gone_: pa.array(more, pa.binary())})
-                    continue
-                total, lost = [], []
-                for row, text in enumerate(texts):
-                    drop = gone.get(row, set()).union(np.frombuffer(marked[row] or b"", np.int64).tolist())
+                own = np.array(ids, np.int64)[np.frombuffer(rows, np.int64)]
+                for i in np.flatnonzero(dropped(index if few else read_shards(files), shards, h[:, 0].copy(), h[:, 1].copy(), own, min_docs)):
+                    gone.setdefault(rows[i], set()).add(at[i])
+            row = 0
+            for b in group:
+                texts, total, lost = b.column("text").to_pylist(), [], []
+                for k, text in enumerate(texts):
+                    drop = gone.get(row, ())
                     total.append(1 + (text or b"").count(b"\n"))
                     lost.append(len(drop))
                     if drop:
-                        texts[row] = b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in drop)
-                cols["text"] = pa.array(texts, pa.binary()).cast(pa.string())
+                        texts[k] = b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in drop)
+                    row += 1
+                cols = {c: b.column(c) for c in names} | {"text": pa.array(texts, pa.binary()).cast(pa.string())}
                 yield pa.RecordBatch.from_pydict(cols | {"n_lines": pa.array(total, pa.int64()), "n_dropped": pa.array(lost, pa.int64())})
 
-        return run
-
-    out = docs.withColumn("text", F.col("text").cast("binary")).withColumn(id_, F.col("doc_id").cast("long")).withColumn(gone_, F.lit(None).cast("binary"))
-    waves = range(0, shards, per_wave)
-    for first in waves:
-        rows = [r.asDict() for r in index.where(F.col("shard").between(first, first + per_wave - 1)).collect()]  # at most wave_bytes
-        end = first == waves[-1]
-        out = out.mapInArrow(passing(spark.sparkContext.broadcast(rows), end), out_schema if end else out.schema)
-    return out
+    return docs.withColumn("text", F.col("text").cast("binary")).withColumn(id_, F.col("doc_id").cast("long")).mapInArrow(run, schema)
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -416,7 +416,7 @@ def test_perfect_hash_is_minimal():
 
 @pytest.mark.parametrize("wave", [1, 1 << 25])
 def test_lines_of_odd_rows(spark, odd, none, wave):
-    got = line_dedup.dedup_lines(odd, wave_bytes=wave, shard_lines=1 if wave == 1 else 100_000)
+    got = line_dedup.dedup_lines(odd, wave_bytes=wave, shard_lines=1 if wave == 1 else 100_000, held_bytes=100)
     assert got.columns == [c for c in odd.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
     by = {r.doc_id: r for r in got.collect() if r.doc_id is not None}
     assert by[1].text is None and by[1].n_lines == 1 and by[2].text == "" and by[3].n_lines == 2
@@ -425,7 +425,8 @@ def test_lines_of_odd_rows(spark, odd, none, wave):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("at_once", [0, 1 << 20])
+def test_lines_equal_brute_force(spark, at_once):
     rng = random.Random(8)
     lines = [f"line {i} " + "Pad" * rng.choice([9, 11, 12, 13, 20]) + "é" * rng.randrange(3) for i in range(30)]
     rows = [(d, "\n".join(rng.choice(["", "  ", "\t"]) + rng.choice([str.upper, str])(rng.choice(lines)) for _ in range(rng.randrange(9)))) for d in range(60)]
@@ -436,8 +437,13 @@ def test_lines_equal_brute_force(spark):
             held[key(x)].add(d)
     gone = {k: max(v) for k, v in held.items() if len(k) >= 40 and len(v) >= 5}
     want = {d: "\n".join(x for x in t.split("\n") if gone.get(key(x), d) == d) for d, t in rows}
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), wave_bytes=50, shard_lines=2)
-    assert {r.doc_id: r.text for r in got.collect()} == want and want != dict(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for wave in (50, 1 << 20):  # an index that stays in the shared folder, and one that is broadcast
+            got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), wave_bytes=wave, shard_lines=2, held_bytes=at_once)
+            assert {r.doc_id: r.text for r in got.collect()} == want and want != dict(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def test_lines_count_documents_and_not_rows(spark):
