@@ -6,31 +6,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import pileup
+from tessera.operators import pileup, reference
 
 
 def calls(reads: DataFrame, sites: DataFrame, whitelist: DataFrame | None = None, min_mapq: int = 0, min_base_quality: int = 20, max_depth: int | None = 250, overlap: str = "best", order: tuple[str, ...] = ("rec_idx",)) -> DataFrame:
-    """barcode, contig, pos0, tri, call: a row for each informative base.
+    """barcode, contig, pos0, tri, call, _bin (of the position): a row for each informative base.
 
     Applied in this order: strand flags, mapping quality, CIGAR, base quality, depth cap, mate overlap, call,
-    whitelist. The join with sites takes away whole columns, so it may stand before the windows: it halves
-    what they sort, and join and windows share one shuffle by (contig, pos0). Without a depth cap no read decides on
-    another barcode's (mates share theirs), so the whitelist then stands before the CIGAR expansion."""
-    used = reads.where(F.coalesce(F.col("mapq"), F.lit(255)) >= min_mapq).withColumn("strand", scalars.strand(F.col("flag"))).where("strand IS NOT NULL")
-    used = used.withColumn("_read", F.struct(*order)).withColumn("barcode", scalars.barcode(F.col("qname")))
-    early = whitelist is not None and max_depth is None
-    used = keep_listed(used, whitelist) if early else used
-    carried = ["strand", "barcode", *(["qname"] if overlap != "none" else []), *(["_read"] if max_depth is not None or overlap != "none" else [])]
-    bases = pileup.expand(used, *carried)
+    whitelist. Sites take away whole columns, so they may stand before the windows: that halves what they
+    sort. Runs of reads and sites are dealt by (contig, bin) once, and everything up to the count of a site stays in the
+    task that has the bin. Without a depth cap no read decides on another barcode's (mates share theirs), so the whitelist
+    then stands before the CIGAR expansion."""
+    mates, ranked, early = overlap != "none", max_depth is not None or overlap != "none", whitelist is not None and max_depth is None
+    bases = _bases_at_sites(reads, sites, whitelist if early else None, min_mapq, order if ranked else None, mates, *(["read_base"] if overlap == "sum" else []))
     bases = bases.where(F.col("bq") >= min_base_quality) if overlap != "sum" else bases
-    # Spark takes the bases, whose number it can't know before they are exploded, for the smaller side and would broadcast them.
-    at_sites = bases.join(sites.hint("shuffle_hash"), ["contig", "pos0"])
-    kept = pileup.clip_overlap(pileup.cap_depth(at_sites, max_depth, "_read"), overlap, "_read")
+    kept = pileup.clip_overlap(pileup.cap_depth(bases, max_depth, "_rank"), overlap, "_rank")
     kept = kept.where(F.col("bq") >= min_base_quality) if overlap == "sum" else kept
-    called = kept.select("barcode", "contig", "pos0", "tri", scalars.call(F.col("strand"), F.col("ref_base"), F.col("read_base")).alias("call")).where("call IS NOT NULL")
+    called = kept.where("call IS NOT NULL").select("barcode", "contig", "pos0", "tri", "call", "_bin")
     return called if whitelist is None or early else keep_listed(called, whitelist)
 
 
+def _bases_at_sites(reads: DataFrame, sites: DataFrame, whitelist: DataFrame | None, min_mapq: int, order: tuple[str, ...] | None, mates: bool, *more: str) -> DataFrame:
+    """barcode, contig, pos0, bq, tri, call, _bin [, _rank, _mate, more]: all bases of reads of either strand that stand at sites."""
+    used = reads.where(F.coalesce(F.col("mapq"), F.lit(255)) >= min_mapq).withColumn("strand", scalars.strand(F.col("flag"))).where("strand IS NOT NULL")
+    used = used.withColumn("barcode", scalars.barcode(F.col("qname")))
+    used = used if whitelist is None else keep_listed(used, whitelist)
+    runs = pileup.numbered(used, order, "strand", "barcode", mates=mates) if order else pileup.in_bins(used, "strand", "barcode")
+    # One row for each bin: a run takes the letters of its own positions, and no base has to be looked up.
+    strings = reference.site_strings(sites, pileup.BIN, pileup.partitions(reads)).hint("shuffle_hash")
+    own = F.substr("_sites", (F.col("_start") - F.col("_bin") * pileup.BIN + 1).cast("int"), F.col("_len"))
+    placed = runs.join(strings, ["contig", "_bin"]).withColumn("_sites", own)
+    marks = [c for c in ("_bin", "_rank", "_mate") if c in runs.columns]
+    code = F.col("_code")
+    bases = pileup.explode_runs(placed, *marks, "strand", "barcode", pileup.nth("_sites").alias("_code")).where(code.isin(*reference.CODES))
+    call = scalars.call(F.col("strand"), reference.base_of(code), F.col("read_base")).alias("call")
+    return bases.select("barcode", "contig", "pos0", "bq", reference.tri_of(code).alias("tri"), call, *marks, *more)
+
+
 def keep_listed(rows: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Rows whose barcode is listed; Spark broadcasts the list if it is small."""
     return rows.join(whitelist.select("barcode").distinct(), "barcode", "left_semi")
@@ -38,7 +50,7 @@ def keep_listed(rows: DataFrame, whitelist: DataFrame) -> DataFrame:
 
 def site_counts(called: DataFrame) -> DataFrame:
     """barcode, context, tri, chr, pos (1-based), pct, t, c."""
-    counted = called.groupBy("barcode", "contig", "pos0", "tri").agg(F.count_if(F.col("call") == 0).alias("t"), F.count_if(F.col("call") == 1).alias("c"))
+    counted = called.groupBy("barcode", *pileup.position(called), "tri").agg(F.count_if(F.col("call") == 0).alias("t"), F.count_if(F.col("call") == 1).alias("c"))
     return counted.select("barcode", scalars.context(F.col("tri")).alias("context"), "tri", F.col("contig").alias("chr"), (F.col("pos0") + 1).alias("pos"), scalars.percent(F.col("c"), F.col("t")).alias("pct"), "t", "c")
 
 

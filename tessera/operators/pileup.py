@@ -1,7 +1,8 @@
 """From alignments to bases: flag filters, CIGAR expansion, depth cap and mate overlap.
 
 alignments: contig, pos0, flag, mapq, cigar, qname, seq, qual [, rec_idx]. All plans stay in built-in
-expressions; the only shuffle is by (contig, pos0), which the windows and the join with sites share.
+expressions. Bases are never shuffled: in_bins() deals the aligned runs of reads by (contig, bin), each task explodes its own, and windows,
+the join with sites and the count of a site all keep to a bin.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from tessera.functions import scalars
 UNMAPPED, SECONDARY, QC_FAIL, DUPLICATE = 0x4, 0x100, 0x200, 0x400
 EXCLUDED = UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE
 
+#: Positions of a bin. A run becomes many bases, so bins are dealt to FAN times the session's shuffle partitions.
+BIN, FAN = 512, 8
+
 
 def usable(flag: Column) -> Column:
     return flag.bitwiseAND(EXCLUDED) == 0
@@ -53,16 +57,62 @@ def blocks(cigar: Column) -> Column:
     return F.aggregate(ops, start, step, lambda acc: acc["out"])
 
 
-def expand(reads: DataFrame, *carried: str) -> DataFrame:
-    """contig, pos0, read_base, bq and the carried columns: a row for each aligned base; a missing quality is 0."""
-    runs = reads.select("contig", "pos0", "seq", "qual", *carried, F.inline(blocks(F.col("cigar")))).where(F.col("len") > 0)
+def runs(reads: DataFrame, *carried: str) -> DataFrame:
+    """contig, _start, _len, _seq, _qual and the carried columns: a row for each aligned run, with its own bases."""
+    each = reads.select("contig", "pos0", "seq", "qual", *[c for c in carried if c not in ("contig", "pos0", "seq", "qual")], F.inline(blocks(F.col("cigar")))).where(F.col("len") > 0)
     missing = F.col("qual").isNull() | (F.col("qual") == "*")
-    # Each run takes its own bases along, and not the whole read for each of them.
     own = lambda c: F.substr(c, F.col("q") + 1, F.col("len"))
-    runs = runs.select("contig", (F.col("pos0") + F.col("r")).alias("_start"), "len", own("seq").alias("_seq"), F.when(~missing, own("qual")).alias("_qual"), *carried)
-    each = runs.select("*", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("_i"))
-    one = lambda c: F.substr(c, F.col("_i") + 1, F.lit(1))
-    return each.select("contig", (F.col("_start") + F.col("_i")).alias("pos0"), one("_seq").alias("read_base"), F.coalesce(F.ascii(one("_qual")) - 33, F.lit(0)).alias("bq"), *carried)
+    return each.select("contig", (F.col("pos0") + F.col("r")).alias("_start"), F.col("len").alias("_len"), own("seq").alias("_seq"), F.when(~missing, own("qual")).alias("_qual"), *carried)
+
+
+def explode_runs(found: DataFrame, *carried: str | Column) -> DataFrame:
+    """A row for each base of runs(); carried columns may look at the base's offset _i."""
+    each = found.select("*", F.explode(F.sequence(F.lit(0), F.col("_len") - 1)).alias("_i"))
+    return each.select("contig", (F.col("_start") + F.col("_i")).alias("pos0"), nth("_seq").alias("read_base"), F.coalesce(F.ascii(nth("_qual")) - 33, F.lit(0)).alias("bq"), *carried)
+
+
+def nth(text: str) -> Column:
+    return F.substr(text, F.col("_i") + 1, F.lit(1))
+
+
+def expand(reads: DataFrame, *carried: str) -> DataFrame:
+    """contig, pos0, read_base, bq and the carried columns: a row for each aligned base; a missing quality is 0."""
+    return explode_runs(runs(reads, *carried), *carried)
+
+
+def partitions(df: DataFrame) -> int:
+    return FAN * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_bins(reads: DataFrame, *carried: str) -> DataFrame:
+    """runs() with _bin, dealt by (contig, _bin): a run that goes beyond its bin is cut there."""
+    found = runs(reads, *carried)
+    start, stop = F.col("_start"), F.col("_start") + F.col("_len")
+    each = found.select("*", F.explode(F.sequence(F.floor(start / BIN), F.floor((stop - 1) / BIN))).alias("_bin"))
+    first, last = F.greatest(start, F.col("_bin") * BIN), F.least(stop, (F.col("_bin") + 1) * BIN)
+    size = (last - first).cast("int")
+    own = lambda c: F.substr(c, (first - start + 1).cast("int"), size).alias(c)
+    cut = each.select("contig", "_bin", first.alias("_start"), size.alias("_len"), own("_seq"), own("_qual"), *carried)
+    return cut.repartition(partitions(reads), "contig", "_bin")
+
+
+def numbered(reads: DataFrame, order: tuple[str, ...], *carried: str, mates: bool = True) -> DataFrame:
+    """in_bins() with _rank, the run's place in its bin by the order of reads, and with mates _mate, the least _rank of its name there.
+
+    Both stand for the order and the name, so that no base carries strings for them."""
+    named = {c if c == "qname" else f"_order{k}": F.col(c) for k, c in enumerate(order)}
+    kept = [c for c in carried if c not in named]
+    found = in_bins(reads.withColumns(named), *kept, *named, *(["qname"] if mates and "qname" not in named and "qname" not in kept else []))
+    w = Window.partitionBy("_bin", "contig")
+    found = found.withColumn("_rank", F.row_number().over(w.orderBy(*named)))
+    if mates:
+        found = found.withColumn("_mate", F.min("_rank").over(Window.partitionBy("_bin", "contig", "qname")))
+    return found.select("contig", "_bin", "_start", "_len", "_seq", "_qual", *carried, "_rank", *(["_mate"] if mates else []))
+
+
+def position(bases: DataFrame) -> list[str]:
+    """What a position is known by; with _bin, so that rows stay in the task that has their bin."""
+    return ["pos0", "contig", *(["_bin"] if "_bin" in bases.columns else [])]
 
 
 def reference_span(cigar: Column) -> Column:
@@ -80,7 +130,7 @@ def cap_depth(bases: DataFrame, max_depth: int | None, *order: str) -> DataFrame
     """The first max_depth bases of each column in the given order; all of them for None."""
     if max_depth is None:
         return bases
-    w = Window.partitionBy("contig", "pos0").orderBy(*order)
+    w = Window.partitionBy(*position(bases)).orderBy(*order)
     return bases.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_depth).drop("_n")
 
 
@@ -91,7 +141,7 @@ def clip_overlap(bases: DataFrame, how: str, *order: str) -> DataFrame:
     eight tenths of its quality. none: all stay."""
     if how == "none":
         return bases
-    w = Window.partitionBy("contig", "pos0", "qname")
+    w = Window.partitionBy(*position(bases), "_mate" if "_mate" in bases.columns else "qname")
     first = F.row_number().over(w.orderBy(F.desc("bq"), *order))
     if how == "best":
         return bases.withColumn("_n", first).where("_n = 1").drop("_n")

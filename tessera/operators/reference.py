@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
@@ -51,3 +51,23 @@ def sites(tiles: DataFrame) -> DataFrame:
     base = [F.substr("halo", F.col("i") + k, F.lit(1)) for k in (3, 1, 2, 4, 5)]
     found = each.select("contig", (F.col("tile_start") + F.col("i")).cast("long").alias("pos0"), base[0].alias("ref_base"), scalars.trinucleotide(*base).alias("tri"))
     return found.where(F.col("ref_base").isin("C", "G"))
+
+
+#: A letter for each kind of site: its base and context.
+CODES = {"a": ("C", "CpG"), "b": ("C", "CHG"), "c": ("C", "CHH"), "d": ("G", "CpG"), "e": ("G", "CHG"), "f": ("G", "CHH")}
+
+
+def site_strings(sites: DataFrame, size: int, n: int) -> DataFrame:
+    """contig, _bin, _sites: for each bin of positions with a site its letters of CODES in order, from the bin's first position on; a dot for none."""
+    code = F.coalesce(*[F.when((F.upper("ref_base") == base) & (F.col("tri") == tri), k) for k, (base, tri) in CODES.items()])
+    at = sites.select("contig", F.floor(F.col("pos0") / size).alias("_bin"), F.struct((F.col("pos0") % size).cast("int").alias("at"), code.alias("code")).alias("s")).where("s.code IS NOT NULL")
+    found = at.repartition(n, "contig", "_bin").groupBy("contig", "_bin").agg(F.array_sort(F.collect_list("s")).alias("s"))  # a bin of them at most
+    return found.select("contig", "_bin", F.aggregate("s", F.lit(""), lambda acc, x: F.concat(F.rpad(acc, x["at"], F.lit(".")), x["code"])).alias("_sites"))
+
+
+def base_of(code: Column) -> Column:
+    return F.when(code.isin("a", "b", "c"), "C").otherwise("G")
+
+
+def tri_of(code: Column) -> Column:
+    return F.when(code.isin("a", "d"), "CpG").when(code.isin("b", "e"), "CHG").otherwise("CHH")
