@@ -10,6 +10,7 @@ from tessera.plans import registry
 SF = "/root/testdata/sf0.001"
 WITHIN_BINS = [
     "cell_summary",
+    "flagship",
 ]
 
 
