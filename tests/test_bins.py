@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 WITHIN_BINS = [
     "cell_summary",
     "flagship",
+    "context_stats",
 ]
 
 
