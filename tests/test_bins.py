@@ -12,6 +12,7 @@ WITHIN_BINS = [
     "cell_summary",
     "flagship",
     "context_stats",
+    "percentages",
 ]
 
 
