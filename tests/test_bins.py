@@ -13,6 +13,7 @@ WITHIN_BINS = [
     "flagship",
     "context_stats",
     "percentages",
+    "window_counts",
 ]
 
 
