@@ -14,6 +14,7 @@ WITHIN_BINS = [
     "context_stats",
     "percentages",
     "window_counts",
+    "cells_per_shard",
 ]
 
 
