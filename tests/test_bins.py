@@ -15,6 +15,7 @@ WITHIN_BINS = [
     "percentages",
     "window_counts",
     "cells_per_shard",
+    "contig_breakdown",
 ]
 
 
