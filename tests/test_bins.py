@@ -16,6 +16,7 @@ WITHIN_BINS = [
     "window_counts",
     "cells_per_shard",
     "contig_breakdown",
+    "distinct_cells",
 ]
 
 
