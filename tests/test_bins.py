@@ -17,6 +17,7 @@ WITHIN_BINS = [
     "cells_per_shard",
     "contig_breakdown",
     "distinct_cells",
+    "whitelist_semi",
 ]
 
 
