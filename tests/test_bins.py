@@ -18,6 +18,7 @@ WITHIN_BINS = [
     "contig_breakdown",
     "distinct_cells",
     "whitelist_semi",
+    "sorted_cell_dataset",
 ]
 
 
