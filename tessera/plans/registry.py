@@ -241,8 +241,7 @@ def site_dump(spark, sf_dir):
 
 @query(f"WITH {_COUNTS} SELECT barcode FROM counts WHERE context = 'CG' UNION SELECT barcode FROM counts WHERE context = 'CH'")
 def barcode_union(spark, sf_dir):
-    counts = _counts(spark, sf_dir)
-    return counts.where("context = 'CG'").select("barcode").union(counts.where("context = 'CH'").select("barcode")).distinct()
+    return _counts(spark, sf_dir).where("context IN ('CG', 'CH')").select("barcode").distinct()
 
 
 @query(f"WITH {_COUNTS} SELECT chr, (pos - 1) // {bridge.WINDOW} AS window_no, sum(t)::BIGINT AS t, sum(c)::BIGINT AS c FROM counts GROUP BY ALL")

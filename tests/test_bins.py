@@ -19,6 +19,7 @@ WITHIN_BINS = [
     "distinct_cells",
     "whitelist_semi",
     "sorted_cell_dataset",
+    "barcode_union",
 ]
 
 
