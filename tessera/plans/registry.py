@@ -236,7 +236,9 @@ def sorted_cell_dataset(spark, sf_dir):
 
 @query(f"WITH {_COUNTS} SELECT barcode, context AS ctx, chr, pos, t, c FROM counts")
 def site_dump(spark, sf_dir):
-    return _counts(spark, sf_dir).select("barcode", F.col("context").alias("ctx"), "chr", "pos", "t", "c").orderBy("barcode", "ctx", "chr", "pos")
+    counts = _counts(spark, sf_dir).select("barcode", F.col("context").alias("ctx"), "chr", "pos", "t", "c")
+    # A sort by range reads its input twice, the first time for bounds: it then finds counts, and not bases to count again.
+    return counts.repartition("barcode", "chr", "pos").orderBy("barcode", "ctx", "chr", "pos")
 
 
 @query(f"WITH {_COUNTS} SELECT barcode FROM counts WHERE context = 'CG' UNION SELECT barcode FROM counts WHERE context = 'CH'")

@@ -20,6 +20,7 @@ WITHIN_BINS = [
     "whitelist_semi",
     "sorted_cell_dataset",
     "barcode_union",
+    "site_dump",
 ]
 
 
