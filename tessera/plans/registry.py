@@ -71,6 +71,17 @@ def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.expand(_used(spark, sf_dir).withColumn("_read", read), "qname", "_read").where(F.col("bq") >= bridge.MIN_BASE_QUALITY)
 
 
+def _stacked(spark: SparkSession, sf_dir: str, mates: bool = True) -> DataFrame:
+    """Bases of all qualities in their bins, with the places of their reads."""
+    marks = ["_bin", "_rank", *(["_mate"] if mates else [])]
+    return pileup.explode_runs(pileup.numbered(_used(spark, sf_dir), bridge.ORDER, mates=mates), *marks)
+
+
+def _columns(bases: DataFrame) -> DataFrame:
+    summed = bases.groupBy(*pileup.position(bases)).agg(F.count("*").alias("n"), F.sum("bq").alias("bq"))
+    return summed.select("contig", "pos0", "n", "bq")
+
+
 @query(f"WITH {_COUNTS} SELECT * FROM counts")
 def flagship(spark, sf_dir):
     return _counts(spark, sf_dir)
@@ -164,8 +175,8 @@ def baseq_filter(spark, sf_dir):
 
 @query(f"WITH {_CAPPED} SELECT contig, pos0, count(*) AS n, sum(bq)::BIGINT AS bq FROM capped GROUP BY ALL")
 def depth_cap(spark, sf_dir):
-    kept = pileup.cap_depth(_good(spark, sf_dir), bridge.MAX_DEPTH, "_read")
-    return kept.groupBy("contig", "pos0").agg(F.count("*").alias("n"), F.sum("bq").alias("bq"))
+    good = _stacked(spark, sf_dir, mates=False).where(F.col("bq") >= bridge.MIN_BASE_QUALITY).drop("read_base")
+    return _columns(pileup.cap_depth(good, bridge.MAX_DEPTH, "_rank"))
 
 
 @query(f"WITH {_BEST} SELECT contig, pos0, count(*) AS n, sum(bq)::BIGINT AS bq FROM best GROUP BY ALL")

@@ -21,6 +21,7 @@ WITHIN_BINS = [
     "sorted_cell_dataset",
     "barcode_union",
     "site_dump",
+    "depth_cap",
 ]
 
 
