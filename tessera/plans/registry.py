@@ -67,8 +67,7 @@ def _used(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = F.struct(*bridge.ORDER).alias("_read")
-    return pileup.expand(_used(spark, sf_dir).withColumn("_read", read), "qname", "_read").where(F.col("bq") >= bridge.MIN_BASE_QUALITY)
+    return pileup.expand(_used(spark, sf_dir)).where(F.col("bq") >= bridge.MIN_BASE_QUALITY)
 
 
 def _stacked(spark: SparkSession, sf_dir: str, mates: bool = True) -> DataFrame:
@@ -181,8 +180,8 @@ def depth_cap(spark, sf_dir):
 
 @query(f"WITH {_BEST} SELECT contig, pos0, count(*) AS n, sum(bq)::BIGINT AS bq FROM best GROUP BY ALL")
 def overlap_best(spark, sf_dir):
-    kept = pileup.clip_overlap(pileup.cap_depth(_good(spark, sf_dir), bridge.MAX_DEPTH, "_read"), "best", "_read")
-    return kept.groupBy("contig", "pos0").agg(F.count("*").alias("n"), F.sum("bq").alias("bq"))
+    good = _stacked(spark, sf_dir).where(F.col("bq") >= bridge.MIN_BASE_QUALITY).drop("read_base")
+    return _columns(pileup.clip_overlap(pileup.cap_depth(good, bridge.MAX_DEPTH, "_rank"), "best", "_rank"))
 
 
 @query(f"""WITH {_bases(_USED)}, x AS (SELECT *, row_number() OVER (PARTITION BY contig, pos0, qname ORDER BY bq DESC, start0, qname, flag) AS k, count(*) OVER p AS n, sum(bq) OVER p AS total, min(read_base) OVER p = max(read_base) OVER p AS same

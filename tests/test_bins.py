@@ -22,6 +22,7 @@ WITHIN_BINS = [
     "barcode_union",
     "site_dump",
     "depth_cap",
+    "overlap_best",
 ]
 
 
