@@ -188,9 +188,8 @@ def overlap_best(spark, sf_dir):
 FROM bases WINDOW p AS (PARTITION BY contig, pos0, qname)), y AS (SELECT contig, pos0, (CASE WHEN n = 1 THEN bq WHEN same THEN least(total, 200) ELSE floor(bq * 8 / 10) END)::INT AS bq FROM x WHERE k = 1)
 SELECT contig, pos0, count(*) AS n, sum(bq)::BIGINT AS bq FROM y WHERE bq >= 20 GROUP BY ALL""")
 def overlap_sum(spark, sf_dir):
-    reads = _used(spark, sf_dir).withColumn("_read", F.struct(*bridge.ORDER))
-    kept = pileup.clip_overlap(pileup.expand(reads, "qname", "_read"), "sum", "_read").where(F.col("bq") >= bridge.MIN_BASE_QUALITY)
-    return kept.groupBy("contig", "pos0").agg(F.count("*").alias("n"), F.sum("bq").alias("bq"))
+    kept = pileup.clip_overlap(_stacked(spark, sf_dir), "sum", "_rank").where(F.col("bq") >= bridge.MIN_BASE_QUALITY)
+    return _columns(kept)
 
 
 @query(f"WITH {_COUNTS} SELECT * FROM counts WHERE replace(barcode, 'BC', '')::INT % 2 = 0")

@@ -23,6 +23,7 @@ WITHIN_BINS = [
     "site_dump",
     "depth_cap",
     "overlap_best",
+    "overlap_sum",
 ]
 
 
