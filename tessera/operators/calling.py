@@ -69,6 +69,19 @@ def site_differences(counts: DataFrame, other: DataFrame) -> DataFrame:
     return both.where("t <> other_t OR c <> other_c")
 
 
+def rule_differences(reads: DataFrame, sites: DataFrame, min_mapq: int = 0, min_base_quality: int = 20, max_depth: int = 250, order: tuple[str, ...] = ("rec_idx",)) -> DataFrame:
+    """site_differences() between the run with depth cap and the best of mates and the run without either, in one pass: bases are marked and not dropped."""
+    bases = _bases_at_sites(reads, sites, None, min_mapq, order, True).where(F.col("bq") >= min_base_quality)
+    at = pileup.position(bases)
+    capped = bases.withColumn("_in", F.row_number().over(Window.partitionBy(*at).orderBy("_rank")) <= max_depth)
+    first = F.row_number().over(Window.partitionBy(*at, "_mate").orderBy(F.desc("_in"), F.desc("bq"), "_rank")) == 1
+    marked = capped.withColumn("_in", F.col("_in") & first)
+    of = lambda call, kept: F.count_if((F.col("call") == call) & kept)
+    every, kept = F.lit(True), F.col("_in")
+    counted = marked.groupBy("barcode", *at, "tri").agg(of(0, kept).alias("t"), of(1, kept).alias("c"), of(0, every).alias("other_t"), of(1, every).alias("other_c"))
+    return counted.where("t <> other_t OR c <> other_c").select("barcode", scalars.context(F.col("tri")).alias("context"), F.col("contig").alias("chr"), (F.col("pos0") + 1).alias("pos"), "t", "c", "other_t", "other_c")
+
+
 def contig_breakdown(counts: DataFrame, reads: DataFrame) -> DataFrame:
     """chr, mapped_reads, cells, and c, t, pct of CG and CH."""
     of = lambda ctx, x: F.coalesce(F.sum(F.when(F.col("context") == ctx, F.col(x))), F.lit(0))

@@ -267,7 +267,8 @@ SELECT barcode, context, chr, pos, coalesce(a.t, 0) AS t, coalesce(a.c, 0) AS c,
 WHERE coalesce(a.t, 0) <> coalesce(b.t, 0) OR coalesce(a.c, 0) <> coalesce(b.c, 0)""")
 def site_differences(spark, sf_dir):
     """What depth cap and overlap rule change."""
-    return calling.site_differences(_counts(spark, sf_dir), _counts(spark, sf_dir, max_depth=None, overlap="none"))
+    rules = {"min_mapq": bridge.MIN_MAPQ, "min_base_quality": bridge.MIN_BASE_QUALITY, "max_depth": bridge.MAX_DEPTH, "order": bridge.ORDER}
+    return calling.rule_differences(bridge.reads(spark, sf_dir), reference.sites(bridge.tiles(spark, sf_dir)), **rules)
 
 
 @query(f"WITH {_READS}, span AS (SELECT *, list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MDN=X]', 1), lambda x: x::BIGINT)) AS n FROM reads) SELECT contig, pos0, flag, mapq, cigar, qname, seq, qual FROM span WHERE contig = 'chr1' AND pos0 < 5000 AND pos0 + n > 100")

@@ -24,6 +24,7 @@ WITHIN_BINS = [
     "depth_cap",
     "overlap_best",
     "overlap_sum",
+    "site_differences",
 ]
 
 
