@@ -91,3 +91,26 @@ def test_no_reads_and_no_reference(spark):
     tiles = spark.createDataFrame([], "contig string, tile_start long, seq string")
     assert baq.realign(reads, tiles).collect() == reads.collect()
     assert baq.realign(reads.limit(0), tiles).count() == 0
+
+
+def test_stretches_of_many_tiles(spark):
+    """Gaps are N, of tiles that overlap the later one counts, and the work grows with the bases: in their square, this took minutes."""
+    import time
+
+    rng = np.random.default_rng(1)
+    starts = np.cumsum(rng.choice([20, 32, 32, 32, 40], 40_000))
+    genome = np.full(1 << 21, "N")
+    tiles = [("c", int(a), "".join(rng.choice(list("ACGT"), 32))) for a in starts]
+    for _, a, seq in tiles:
+        genome[a : a + 32] = list(seq)
+    # A later tile takes over from where it begins.
+    df = spark.createDataFrame(tiles, "contig string, tile_start long, seq string").cache()
+    df.count()
+    began = time.time()
+    found = baq.stretches(df, (1 << 20,)).collect()
+    assert time.time() - began < 20
+    assert len(found) == int(starts[-1] + 31 >> 20) + 1
+    for r in found:
+        bases = bytes(r["_bases"]).decode()
+        assert bases == "".join(genome[r["_first"] : r["_first"] + len(bases)])
+        assert r["_first"] + len(bases) == min(int(starts[-1]) + 32, (r["_bin"] + 2) << 20)
