@@ -85,15 +85,18 @@ def partitions(df: DataFrame) -> int:
 
 
 def in_bins(reads: DataFrame, *carried: str) -> DataFrame:
-    """runs() with _bin, dealt by (contig, _bin): a run that goes beyond its bin is cut there."""
-    found = runs(reads, *carried)
-    start, stop = F.col("_start"), F.col("_start") + F.col("_len")
-    each = found.select("*", F.explode(F.sequence(F.floor(start / BIN), F.floor((stop - 1) / BIN))).alias("_bin"))
-    first, last = F.greatest(start, F.col("_bin") * BIN), F.least(stop, (F.col("_bin") + 1) * BIN)
+    """runs() with _bin, dealt by (contig, _bin): a run that goes beyond its bin is cut there.
+
+    Reads that have _bin are dealt already, each once for every bin that it may reach, and stay where they are."""
+    dealt = "_bin" in reads.columns
+    found = runs(reads, *carried, *(["_bin"] if dealt else []))
+    start, stop, low = F.col("_start"), F.col("_start") + F.col("_len"), F.col("_bin") * BIN
+    each = found.where((start < low + BIN) & (stop > low)) if dealt else found.select("*", F.explode(F.sequence(F.floor(start / BIN), F.floor((stop - 1) / BIN))).alias("_bin"))
+    first, last = F.greatest(start, low), F.least(stop, low + BIN)
     size = (last - first).cast("int")
     own = lambda c: F.substr(c, (first - start + 1).cast("int"), size).alias(c)
     cut = each.select("contig", "_bin", first.alias("_start"), size.alias("_len"), own("_seq"), own("_qual"), *carried)
-    return cut.repartition(partitions(reads), "contig", "_bin")
+    return cut if dealt else cut.repartition(partitions(reads), "contig", "_bin")
 
 
 def numbered(reads: DataFrame, order: tuple[str, ...], *carried: str, mates: bool = True) -> DataFrame:

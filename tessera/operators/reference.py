@@ -29,8 +29,8 @@ def plan_windows(contigs: DataFrame, size: int) -> DataFrame:
     return each.select((F.col("_before") + F.col("_i")).cast("long").alias("chunk_id"), "contig", "start", F.least(F.col("start") + size, F.col("length")).alias("stop"))
 
 
-def sites(tiles: DataFrame) -> DataFrame:
-    """contig, pos0, ref_base, tri of every C and G. tiles: contig, tile_start, seq; neighbouring tiles lend two bases each.
+def with_halo(tiles: DataFrame) -> DataFrame:
+    """contig, tile_start, seq, halo: seq in capitals, and with two bases more on either side, N where no tile lends them.
 
     A tile's own ends carry its outer bases to the tiles that touch it, keyed by (contig, position), so that a contig is
     as many groups as it has tiles and no window orders it."""
@@ -47,7 +47,13 @@ def sites(tiles: DataFrame) -> DataFrame:
     t = t.join(before, (F.col("contig") == F.col("_c1")) & (F.col("tile_start") == F.col("_start")), "left")
     t = t.join(after, (F.col("contig") == F.col("_c2")) & (stop == F.col("_stop")), "left")
     halo = F.concat(F.lpad(F.coalesce("_before", F.lit("")), 2, "N"), "seq", F.rpad(F.coalesce("_after", F.lit("")), 2, "N"))
-    each = t.select("contig", "tile_start", halo.alias("halo"), F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("i"))
+    return t.select("contig", "tile_start", "seq", halo.alias("halo"))
+
+
+def sites(tiles: DataFrame) -> DataFrame:
+    """contig, pos0, ref_base, tri of every C and G. tiles: contig, tile_start, seq; neighbouring tiles lend two bases each."""
+    t = with_halo(tiles)
+    each = t.select("contig", "tile_start", "halo", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("i"))
     base = [F.substr("halo", F.col("i") + k, F.lit(1)) for k in (3, 1, 2, 4, 5)]
     found = each.select("contig", (F.col("tile_start") + F.col("i")).cast("long").alias("pos0"), base[0].alias("ref_base"), scalars.trinucleotide(*base).alias("tri"))
     return found.where(F.col("ref_base").isin("C", "G"))
@@ -57,12 +63,32 @@ def sites(tiles: DataFrame) -> DataFrame:
 CODES = {"a": ("C", "CpG"), "b": ("C", "CHG"), "c": ("C", "CHH"), "d": ("G", "CpG"), "e": ("G", "CHG"), "f": ("G", "CHH")}
 
 
+def coded(tiles: DataFrame) -> DataFrame:
+    """contig, tile_start, codes: the sites() of a tile as a letter of CODES for each of its positions, a dot for none.
+
+    What was a C or a G stays known by its letter, so that each pass still sees the neighbours of the next."""
+    code = F.col("halo")
+    for pattern, letter in (("C(?=G)", "a"), ("C(?=[ACTabc]G)", "b"), ("C", "c"), ("(?<=a)G", "d"), ("(?<=[abc][AGTd])G", "e"), ("G", "f"), ("[^a-f]", ".")):
+        code = F.regexp_replace(code, pattern, letter)
+    return with_halo(tiles).select("contig", "tile_start", F.substr(code, F.lit(3), F.length("seq")).alias("codes"))
+
+
 def site_strings(sites: DataFrame, size: int, n: int) -> DataFrame:
-    """contig, _bin, _sites: for each bin of positions with a site its letters of CODES in order, from the bin's first position on; a dot for none."""
-    code = F.coalesce(*[F.when((F.upper("ref_base") == base) & (F.col("tri") == tri), k) for k, (base, tri) in CODES.items()])
-    at = sites.select("contig", F.floor(F.col("pos0") / size).alias("_bin"), F.struct((F.col("pos0") % size).cast("int").alias("at"), code.alias("code")).alias("s")).where("s.code IS NOT NULL")
+    """contig, _bin, _sites: for each bin of positions with a site its letters of CODES in order, from the bin's first position on; a dot for none.
+
+    sites: rows of sites(), or of coded(), which are a letter for a position where those are a row."""
+    if "codes" in sites.columns:
+        start, stop, low = F.col("tile_start"), F.col("tile_start") + F.length("codes"), F.col("_bin") * size
+        each = sites.select("*", F.explode(F.sequence(F.floor(start / size), F.floor((stop - 1) / size))).alias("_bin"))
+        first = F.greatest(start, low)
+        own = F.substr("codes", (first - start + 1).cast("int"), (F.least(stop, low + size) - first).cast("int"))
+        at = each.select("contig", "_bin", F.struct((first - low).cast("int").alias("at"), own.alias("code")).alias("s"))
+    else:
+        code = F.coalesce(*[F.when((F.upper("ref_base") == base) & (F.col("tri") == tri), k) for k, (base, tri) in CODES.items()])
+        at = sites.select("contig", F.floor(F.col("pos0") / size).alias("_bin"), F.struct((F.col("pos0") % size).cast("int").alias("at"), code.alias("code")).alias("s")).where("s.code IS NOT NULL")
     found = at.repartition(n, "contig", "_bin").groupBy("contig", "_bin").agg(F.array_sort(F.collect_list("s")).alias("s"))  # a bin of them at most
-    return found.select("contig", "_bin", F.aggregate("s", F.lit(""), lambda acc, x: F.concat(F.rpad(acc, x["at"], F.lit(".")), x["code"])).alias("_sites"))
+    put = lambda acc, x: F.concat(F.rpad(acc, x["at"], F.lit(".")), x["code"], F.substr(acc, x["at"] + F.length(x["code"]) + 1))
+    return found.select("contig", "_bin", F.aggregate("s", F.lit(""), put).alias("_sites"))
 
 
 def base_of(code: Column) -> Column:

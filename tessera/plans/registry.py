@@ -59,7 +59,7 @@ def _counts(spark: SparkSession, sf_dir: str, whitelist: DataFrame | None = None
 
 def _called(spark: SparkSession, sf_dir: str, whitelist: DataFrame | None = None, **more) -> DataFrame:
     rules = {"min_mapq": bridge.MIN_MAPQ, "min_base_quality": bridge.MIN_BASE_QUALITY, "max_depth": bridge.MAX_DEPTH, "overlap": "best", "order": bridge.ORDER} | more
-    return calling.calls(bridge.reads(spark, sf_dir), reference.sites(bridge.tiles(spark, sf_dir)), whitelist, **rules)
+    return calling.calls(bridge.reads_in_bins(spark, sf_dir), reference.coded(bridge.tiles(spark, sf_dir)), whitelist, **rules)
 
 
 def _used(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import scalars
 from tessera.operators import calling, pileup, reference
-from tessera.plans import registry
+from tessera.plans import bridge, registry
 
 SF = "/root/testdata/sf0.001"
 WITHIN_BINS = [
@@ -28,6 +29,20 @@ WITHIN_BINS = [
 ]
 
 
+#: Queries whose reads are made where their bin is.
+READS_IN_PLACE = [
+    "context_stats",
+]
+
+
+@pytest.mark.parametrize("name", READS_IN_PLACE)
+def test_no_read_is_shuffled(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    dealt = [re.findall(r"(\w+)#", columns) for columns in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    assert any({"_bin", "l_orderkey"} <= set(columns) for columns in dealt), dealt
+    assert not any({"_seq", "_qual", "ref_base"} & set(columns) or "l_orderkey" in columns and "_bin" not in columns for columns in dealt), dealt
+
+
 @pytest.mark.parametrize("name", WITHIN_BINS)
 def test_no_base_is_shuffled(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -74,3 +89,28 @@ def test_runs_beyond_their_bin(spark, monkeypatch):
         assert {(r.contig, r.pos0): r[2] for r in totals.collect()} == {k: len(v) for k, v in at.items()}
         seen.append((shown(capped), shown(free), shown(run(overlap="sum"))))
     assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) > 50
+
+
+@pytest.mark.parametrize("size", [7, 64, 512])
+def test_reads_dealt_as_line_items(spark, monkeypatch, size):
+    """The same runs in the same bins, each once, as from reads that are dealt themselves."""
+    monkeypatch.setattr(pileup, "BIN", size)
+    columns = ("flag", "mapq", "qname")
+    used = lambda reads: pileup.in_bins(reads.where(scalars.strand(F.col("flag")).isNotNull()), *columns)
+    found, want = used(bridge.reads_in_bins(spark, SF)), used(bridge.reads(spark, SF))
+    assert found.columns == want.columns and want.count() > 10_000
+    assert found.exceptAll(want).count() == 0 and want.exceptAll(found).count() == 0
+
+
+def test_coded_tiles_hold_the_sites(spark):
+    """Tiles of any size, with gaps, small letters, others than ACGT, a tile of one base and one twice."""
+    rng = random.Random(5)
+    text = {c: "".join(rng.choice("ACGTCGCGacgtN") if k % 97 else "R" for k in range(900)) for c in ("a", "b")}
+    cuts = [0, 1, 3, 40, 41, 200, 260, 700, 900]
+    rows = [(c, a, s[a:b]) for c, s in text.items() for a, b in zip(cuts, cuts[1:], strict=False) if a != 200]
+    for tiles in (rows, rows + [rows[3]]):
+        tiles = spark.createDataFrame(tiles, "contig string, tile_start long, seq string")
+        for size in (7, 64, 512):
+            strings = lambda sites: {(r.contig, r._bin): r._sites.rstrip(".") for r in reference.site_strings(sites, size, 4).collect() if r._sites.strip(".")}  # noqa: E731, B023
+            found = strings(reference.coded(tiles))
+            assert found == strings(reference.sites(tiles)) and len(found) > 2
