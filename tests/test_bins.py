@@ -33,6 +33,7 @@ WITHIN_BINS = [
 READS_IN_PLACE = [
     "context_stats",
     "sorted_cell_dataset",
+    "whitelist_semi",
 ]
 
 
