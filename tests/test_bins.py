@@ -34,6 +34,7 @@ READS_IN_PLACE = [
     "context_stats",
     "sorted_cell_dataset",
     "whitelist_semi",
+    "cells_per_shard",
 ]
 
 
