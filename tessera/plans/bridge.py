@@ -43,10 +43,10 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_TILES.format(div="div", str="STRING", part="{part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two mates for each line item, dealt to all cores: the file may be a single row group, so a single task."""
+def reads(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+    """Two mates for each line item. spread: dealt to all cores, since the file may be a single row group, so a single task."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    items = items.repartition(2 * spark.sparkContext.defaultParallelism)
+    items = items.repartition(2 * spark.sparkContext.defaultParallelism) if spread else items
     return spark.sql(_READS.format(div="div", lineitem="{lineitem}", mates=_MATES), lineitem=items)
 
 

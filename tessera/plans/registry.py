@@ -218,7 +218,7 @@ def percentages(spark, sf_dir):
 s AS (SELECT chr, count(DISTINCT barcode) AS cells, coalesce(sum(c) FILTER (context = 'CG'), 0)::BIGINT AS cg_c, coalesce(sum(t) FILTER (context = 'CG'), 0)::BIGINT AS cg_t, coalesce(sum(c) FILTER (context = 'CH'), 0)::BIGINT AS ch_c, coalesce(sum(t) FILTER (context = 'CH'), 0)::BIGINT AS ch_t FROM counts GROUP BY chr)
 SELECT chr, mapped_reads, cells, cg_c, cg_t, {PCT.format(c='cg_c', t='cg_t')} AS cg_pct, ch_c, ch_t, {PCT.format(c='ch_c', t='ch_t')} AS ch_pct FROM m JOIN s USING (chr)""")
 def contig_breakdown(spark, sf_dir):
-    return calling.contig_breakdown(_counts(spark, sf_dir), bridge.reads(spark, sf_dir))
+    return calling.contig_breakdown(_counts(spark, sf_dir), bridge.reads(spark, sf_dir, spread=False))  # only counted
 
 
 @query(f"WITH {_COUNTS} SELECT count(DISTINCT barcode) AS n_cells FROM counts")

@@ -35,6 +35,7 @@ READS_IN_PLACE = [
     "sorted_cell_dataset",
     "whitelist_semi",
     "cells_per_shard",
+    "contig_breakdown",
 ]
 
 
