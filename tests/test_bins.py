@@ -36,6 +36,7 @@ READS_IN_PLACE = [
     "whitelist_semi",
     "cells_per_shard",
     "contig_breakdown",
+    "distinct_cells",
 ]
 
 
