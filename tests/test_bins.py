@@ -37,6 +37,7 @@ READS_IN_PLACE = [
     "cells_per_shard",
     "contig_breakdown",
     "distinct_cells",
+    "flagship",
 ]
 
 
