@@ -38,6 +38,7 @@ READS_IN_PLACE = [
     "contig_breakdown",
     "distinct_cells",
     "flagship",
+    "percentages",
 ]
 
 
