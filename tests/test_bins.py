@@ -39,6 +39,7 @@ READS_IN_PLACE = [
     "distinct_cells",
     "flagship",
     "percentages",
+    "window_counts",
 ]
 
 
