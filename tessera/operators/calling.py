@@ -111,5 +111,6 @@ def resolve_shards(cells: int, explicit: int = 0) -> int:
 def sorted_cells(counts: DataFrame, order: DataFrame, n_shards: int) -> DataFrame:
     """counts with shard, contig_ord and row_no: the rank of a row within its cell and context, by contig list order and position."""
     placed = counts.join(F.broadcast(order.select(F.col("contig").alias("chr"), "contig_ord")), "chr")
+    placed = placed.repartition(pileup.partitions(placed), "barcode", "context")  # few whole groups to sort in a task
     w = Window.partitionBy("barcode", "context").orderBy("contig_ord", "pos")
     return placed.withColumn("shard", scalars.shard(F.col("barcode"), n_shards)).withColumn("row_no", F.row_number().over(w))

@@ -81,7 +81,9 @@ def expand(reads: DataFrame, *carried: str) -> DataFrame:
 
 
 def partitions(df: DataFrame) -> int:
-    return FAN * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """As many as rows that are dealt already name in the metadata of _bin, so that what joins them is dealt alike."""
+    named = df.schema["_bin"].metadata.get("partitions") if "_bin" in df.columns else None
+    return named or FAN * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def in_bins(reads: DataFrame, *carried: str) -> DataFrame:

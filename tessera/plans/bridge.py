@@ -10,6 +10,8 @@ from tessera.operators import pileup
 
 ORDER = ("pos0", "qname", "flag")
 MIN_MAPQ, MIN_BASE_QUALITY, MAX_DEPTH, SHARDS, WINDOW = 10, 20, 8, 13, 1000
+#: Line items of a task: it sorts the bases of both reads of each in memory, however few partitions the session has.
+ITEMS = 60_000
 
 _TILES = """
 SELECT 'chr' || (1 + p_partkey % 3) AS contig, CAST((p_partkey {div} 3) * 32 AS BIGINT) AS tile_start,
@@ -53,14 +55,16 @@ def reads(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
 def reads_in_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reads() of either strand with _bin, each in all bins that it may reach, dealt by (contig, _bin).
 
-    A line item is a fraction of its two reads, so that items are dealt, and reads are made where their bin is."""
+    A line item is a fraction of its two reads, so that items are dealt, and reads are made where their bin is. Items are counted
+    by the file's footers, so that a task gets ITEMS of them on average at most."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     first, last = (F.expr(_POS0.format(div="div", m=m)) for m in (0, 1))
     flags = [F.expr(_FLAG.format(m=m)) for m in (0, 1)]
     items = items.where(scalars.strand(flags[0]).isNotNull() | scalars.strand(flags[1]).isNotNull())
     bins = F.sequence(F.floor(first / pileup.BIN), F.floor((last + F.expr(_SPAN) - 1) / pileup.BIN))
-    items = items.select("*", F.expr(_CONTIG).alias("contig"), F.explode(bins).alias("_bin"))
-    dealt = items.repartition(pileup.partitions(items), "contig", "_bin")
+    n = max(pileup.partitions(items), -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // ITEMS))
+    items = items.select("*", F.expr(_CONTIG).alias("contig"), F.explode(bins).alias("_bin")).withMetadata("_bin", {"partitions": n})
+    dealt = items.repartition(n, "contig", "_bin")
     return spark.sql(_READS_OF.format(div="div", contig="contig", more=", _bin", lineitem="{lineitem}", mates=_MATES), lineitem=dealt)
 
 

@@ -122,3 +122,23 @@ def test_coded_tiles_hold_the_sites(spark):
             strings = lambda sites: {(r.contig, r._bin): r._sites.rstrip(".") for r in reference.site_strings(sites, size, 4).collect() if r._sites.strip(".")}  # noqa: E731, B023
             found = strings(reference.coded(tiles))
             assert found == strings(reference.sites(tiles)) and len(found) > 2
+
+
+#: Queries whose tasks get a bounded number of line items.
+DEALT_BY_ITEMS = ["sorted_cell_dataset"]
+
+
+@pytest.mark.parametrize("name", DEALT_BY_ITEMS)
+def test_tasks_by_line_items(spark, monkeypatch, name):
+    """6,000 line items over tasks of 100, with few shuffle partitions: reference and items are dealt alike, and the rows stay."""
+    shown = lambda df: sorted(map(repr, df.collect()))
+    want = shown(registry.QUERIES[name](spark, SF))
+    monkeypatch.setattr(bridge, "ITEMS", 100)
+    found = registry.QUERIES[name](spark, SF)
+    dealt = re.findall(r"Exchange hashpartitioning\(contig#\w+, _bin#\w+, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert dealt == ["60", "60"] and shown(found) == want
+
+
+def test_cells_are_sorted_in_many_tasks(spark):
+    plan = registry.QUERIES["sorted_cell_dataset"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(barcode#\w+, context#\w+, (\d+)\)", plan) == [str(pileup.FAN * 4)]
