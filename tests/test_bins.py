@@ -125,7 +125,7 @@ def test_coded_tiles_hold_the_sites(spark):
 
 
 #: Queries whose tasks get a bounded number of line items.
-DEALT_BY_ITEMS = ["sorted_cell_dataset"]
+DEALT_BY_ITEMS = ["sorted_cell_dataset", "whitelist_semi"]
 
 
 @pytest.mark.parametrize("name", DEALT_BY_ITEMS)
@@ -142,3 +142,8 @@ def test_tasks_by_line_items(spark, monkeypatch, name):
 def test_cells_are_sorted_in_many_tasks(spark):
     plan = registry.QUERIES["sorted_cell_dataset"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"hashpartitioning\(barcode#\w+, context#\w+, (\d+)\)", plan) == [str(pileup.FAN * 4)]
+
+
+def test_calls_are_not_dealt_for_the_whitelist(spark):
+    plan = registry.QUERIES["whitelist_semi"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[barcode#\w+\], \[barcode#\w+\], LeftSemi", plan) and "SortMergeJoin" not in plan
