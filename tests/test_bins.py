@@ -125,7 +125,7 @@ def test_coded_tiles_hold_the_sites(spark):
 
 
 #: Queries whose tasks get a bounded number of line items.
-DEALT_BY_ITEMS = ["sorted_cell_dataset", "whitelist_semi", "flagship", "cells_per_shard", "distinct_cells", "percentages"]
+DEALT_BY_ITEMS = ["sorted_cell_dataset", "whitelist_semi", "flagship", "cells_per_shard", "distinct_cells", "percentages", "window_counts"]
 
 
 @pytest.mark.parametrize("name", DEALT_BY_ITEMS)
